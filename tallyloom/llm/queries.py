@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import names
+from tallyloom.llm import names, overlap
 from tallyloom.runtime import table
 
 
@@ -17,6 +17,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_links(spark, d).where("person_id IS NOT NULL").select("spelling", "person_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_links": p6_links}
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    train = table(spark, d, "parse_write").where("split = 'train'")
+    return overlap.find_overlaps(table(spark, d, "heldout_cases").select("id", "input"), train.select("id", "input"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.col("held_id").alias("heldout_id"), "train_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(_overlaps(spark, d), table(spark, d, "heldout_cases"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_report": p7_report}
 
 SQL: dict[str, str] = {}
