@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import names, overlap
+from tallyloom.llm import language, names, overlap
 from tallyloom.runtime import table
 
 
@@ -30,6 +30,25 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_overlaps(spark, d), table(spark, d, "heldout_cases"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_report": p7_report}
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    texts = language.project_texts(table(spark, d, "notes"), table(spark, d, "parse_write"))
+    labels = table(spark, d, "lang_labels")
+    marked = labels.select("src_table", "row_id", language.named(F.col("lang_label")).alias("lang")).where("lang IS NOT NULL")
+    labelled = texts.join(marked, ["src_table", "row_id"]).select("text", "lang")
+    model = language.fit(table(spark, d, "documents").select("text", "lang"), labelled)
+    return language.judge(texts, labels, model)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found(_judged(spark, d))
+
+
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Each text, and each part of a mixed one, with its language and confidence."""
+    rows = _judged(spark, d).select("src_table", "row_id", "state", F.posexplode_outer("segments").alias("at", "s"))
+    return rows.select("src_table", "row_id", "state", (F.col("at") + 1).alias("seg_no"), F.col("s.lang").alias("lang"), F.col("s.confidence").alias("confidence"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_labels": p5_labels, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_report": p7_report}
 
 SQL: dict[str, str] = {}
