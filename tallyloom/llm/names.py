@@ -92,12 +92,9 @@ def entry_forms(name: str, nicks: dict[str, list[str]]) -> Iterator[tuple[str, f
         yield "".join(words), 0.0, ""
     for given, cost in [(first, 0.0), *[(n, NICK) for n in nicks.get(first, [])]]:
         yield given + last, cost, ""
-        yield last + given, cost + ORDER, ""
         for k in range(3, len(last)):
             yield given + last[:k], cost + TRUNCATED, ""
-            yield last[:k] + given, cost + TRUNCATED + ORDER, ""
     yield first[0] + last, INITIAL, ""
-    yield last + first[0], INITIAL + ORDER, ""
 
 
 def spelling_forms(spelling: str) -> Iterator[tuple[str, float, str]]:
@@ -106,6 +103,8 @@ def spelling_forms(spelling: str) -> Iterator[tuple[str, float, str]]:
     if not words:
         return
     yield "".join(words), 0.0, ""
+    if len(words) == 2:
+        yield words[1] + words[0], ORDER, ""
     plain = [w for w in words if w not in LEGAL]
     if plain and plain != words:
         yield "".join(plain), LEGAL_FORM, ""
@@ -116,6 +115,7 @@ def spelling_forms(spelling: str) -> Iterator[tuple[str, float, str]]:
         inner = [words[0], *[w for w in words[1:-1] if len(w) > 1], words[-1]]
         if inner != words:
             yield "".join(inner), MIDDLE, ""
+            yield "".join(inner[1:] + inner[:1]), MIDDLE + ORDER, ""
         marks = TITLES | SUFFIXES | LEGAL
         rest = [w for w in words if min(near(w, m, 1) for m in marks if len(m) > 2) > 1 or len(w) < 3]
         if 1 < len(rest) < len(words):
@@ -208,13 +208,14 @@ def link_spellings(spellings: DataFrame, entries: DataFrame, nicknames: DataFram
 
     done, open_ = None, asked
     for k in (0, 1, 2):
-        # A truncated form keeps too few letters to bear two edits.
-        right = forms if k < 2 else forms.where((F.col("cost") < TRUNCATED) | (F.col("cost") >= INITIAL - 0.01) | F.col("form").startswith("#"))
+        # A truncated form or an initial keeps too few letters to bear two edits.
+        right = forms if k < 2 else forms.where((F.col("cost") < TRUNCATED) | F.col("form").startswith("#"))
         right = right.withColumnRenamed("rest", "theirs")
         if k == 0:
             pairs = open_.join(right, open_["asked"] == right["form"])
         else:
-            pairs = keyed(open_, "asked", k).join(keyed(right, "form", k), "key").drop("key").distinct()
+            # Exploded sides are far larger than the planner takes them for, so neither may be broadcast.
+            pairs = keyed(open_, "asked", k).hint("merge").join(keyed(right, "form", k).hint("merge"), "key").drop("key").distinct()
         scored = pairs.withColumn("edits", price("asked", "form", "mine", "theirs")).where("edits IS NOT NULL")
         scored = scored.withColumn("total", F.col("own") + F.col("cost") + F.col("edits"))
         per = scored.groupBy("spelling", "id").agg(F.min("total").alias("total"))
