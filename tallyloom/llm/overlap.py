@@ -171,7 +171,7 @@ def find_overlaps(held: DataFrame, train: DataFrame) -> DataFrame:
     hc = h.select("held_hash", "held_canon").distinct().withColumn("key", F.explode(keys("held_canon"))).withColumn("key", F.xxhash64("key"))
     asked = cut(hc)
     tc = t.select("train_hash", "train_canon").distinct().withColumn("key", F.explode(keys("train_canon"))).withColumn("key", F.xxhash64("key"))
-    pairs = asked.join(tc, "key").where("held_hash != train_hash").drop("key").distinct()
+    pairs = asked.hint("merge").join(tc.hint("merge"), "key").where("held_hash != train_hash").drop("key").distinct()
     near_pairs = pairs.where(same("held_canon", "train_canon")).select("held_hash", "train_hash", F.lit(False).alias("exact"))
     equal = h.select("held_hash").distinct().join(t.select(F.col("train_hash").alias("held_hash")).distinct(), "held_hash", "left_semi")
     classes = cut(near_pairs.unionByName(equal.select("held_hash", F.col("held_hash").alias("train_hash"), F.lit(True).alias("exact"))))
