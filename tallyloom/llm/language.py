@@ -207,8 +207,8 @@ def fit(trusted: DataFrame, labelled: DataFrame | None = None, rows: int = 2000,
 
     The sample has at most ``rows`` rows of at most ``longest`` characters per language and table, the first by
     hash, and gives at most ``chars`` letters each; it is all that reaches the driver. ``trusted`` labels are
-    taken as they are. Rows of ``labelled``, whose labels may be wrong, only join where the model of the trusted
-    rows doesn't contradict the label, and without the clauses that it gives to another language. Languages without rows are left out.
+    taken as they are. Rows and clauses of ``labelled``, whose labels may be wrong, only join if at least half of
+    their words are more usual in rows of that label than of any other. Languages without rows are left out.
     """
 
     def first(df: DataFrame) -> dict[str, list[str]]:
@@ -225,29 +225,37 @@ def fit(trusted: DataFrame, labelled: DataFrame | None = None, rows: int = 2000,
             got.setdefault(r["lang"], []).append(r["text"])
         return got
 
-    texts = {lang: _joined(t, chars) for lang, t in first(trusted).items()}
-    if labelled is None:
-        return texts
-    model = Model(texts)
-    more = {}
-    for lang, got in first(labelled).items():
-        if lang not in model.langs:
-            more[lang] = got
-            continue
-        i = model.langs.index(lang)
-        more[lang] = []
-        for t in got:
-            rows_ = [(c, model.costs(c)) for c in clauses(t)]
-            sums = [sum(x) for x in zip(*(x for _, x in rows_))]
-            if rows_ and sums[i] <= 1.3 * min(sums) + 1:
-                more[lang] += [c for c, x in rows_ if x[i] <= 1.6 * min(x) + 2]
-    return {lang: texts.get(lang, "") + _joined(more.get(lang, []), chars) for lang in {*texts, *more}}
+    sure = first(trusted)
+    unsure = first(labelled) if labelled is not None else {}
+    # Share of each language's sampled rows that have a word; a word belongs where its share is highest.
+    share: dict[str, dict[str, float]] = {}
+    for part in (sure, unsure):
+        for lang, got in part.items():
+            for t in got:
+                for w in {w for c in clauses(t) for w in c.split()}:
+                    own = share.setdefault(w, {})
+                    own[lang] = own.get(lang, 0.0) + 1 / len(got)
+    home = {w: max(sorted(own), key=own.__getitem__) for w, own in share.items()}
+
+    def fits(clause: str, lang: str) -> bool:
+        words = clause.split()
+        return sum(home[w] != lang for w in words) <= 0.5 * len(words)
+
+    texts = {}
+    for lang in {*sure, *unsure}:
+        clean = [c for t in unsure.get(lang, []) for c in clauses(t) if fits(t_words(t), lang) and fits(c, lang)]
+        texts[lang] = _joined(sure.get(lang, []), chars) + _joined(clean, chars)
+    return texts
+
+
+def t_words(text: str) -> str:
+    return " ".join(clauses(text))
 
 
 SEGMENTS = "array<struct<lang:string,confidence:double,letters:int>>"
 
 
-def identify(rows: DataFrame, model: dict[str, str], text: str = "text", declared: str = "declared", switch: float = 4.0) -> DataFrame:
+def identify(rows: DataFrame, model: dict[str, str], text: str = "text", declared: str = "declared", switch: float = 5.5) -> DataFrame:
     """Adds ``segments``: the languages of ``text`` in reading order, each with a confidence; empty where it has no words.
 
     ``declared``: array of the languages the row's labels name; they only decide where the words don't.
@@ -263,7 +271,7 @@ def identify(rows: DataFrame, model: dict[str, str], text: str = "text", declare
     return rows.withColumn("segments", segments(F.coalesce(F.col(text), F.lit("")), F.col(declared)))
 
 
-def judge(texts: DataFrame, labels: DataFrame, model: dict[str, str], switch: float = 4.0) -> DataFrame:
+def judge(texts: DataFrame, labels: DataFrame, model: dict[str, str], switch: float = 5.5) -> DataFrame:
     """Every text with its declared and found languages: src_table, row_id, declared, segments, state.
 
     ``texts``: src_table, row_id, text; ``labels``: src_table, row_id, lang_label. state: ``mixed`` (two or more
