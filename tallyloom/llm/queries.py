@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, names, overlap
+from tallyloom.llm import language, names, overlap, privacy
 from tallyloom.runtime import table
 
 
@@ -33,9 +33,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     texts = language.project_texts(table(spark, d, "notes"), table(spark, d, "parse_write"))
     labels = table(spark, d, "lang_labels")
-    marked = labels.select("src_table", "row_id", language.named(F.col("lang_label")).alias("lang")).where("lang IS NOT NULL")
-    labelled = texts.join(marked, ["src_table", "row_id"]).select("text", "lang")
-    model = language.fit(table(spark, d, "documents").select("text", "lang"), labelled)
+    keys = ["src_table", "row_id"]
+    marked = labels.select(*keys, language.named(F.col("lang_label")).alias("lang"))
+    few = language.sample_rows(marked, "lang", keys, 2000)  # at most 2,000 rows a language
+    documents = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = language.fit(language.sample_rows(documents, "lang", ["doc_id"], 2000), texts.join(F.broadcast(few), keys))
     return language.judge(texts, labels, model)
 
 
@@ -49,6 +51,20 @@ def p5_labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("src_table", "row_id", "state", (F.col("at") + 1).alias("seg_no"), F.col("s.lang").alias("lang"), F.col("s.confidence").alias("confidence"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_labels": p5_labels, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_report": p7_report}
+def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    texts = privacy.project_texts(table(spark, d, "notes"), table(spark, d, "activity_log"))
+    return texts, privacy.find_items(texts, table(spark, d, "persons"), table(spark, d, "nicknames"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d)[1].select("src_table", "row_id", "kind", F.col("start_pos").cast("long").alias("start_pos"))
+
+
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All texts with placeholders."""
+    return privacy.sanitise(*_items(spark, d))
+
+
+QUERIES = {"p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_labels": p5_labels, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_report": p7_report}
 
 SQL: dict[str, str] = {}
