@@ -10,11 +10,9 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.runtime import once
-
 #: Names of the languages in labels, in any case and before any region mark. Fixed values.
 NAMES = {
     "en": ("en", "eng", "english", "englisch", "inglés", "anglais"),
@@ -43,13 +41,14 @@ def named(label: Column) -> Column:
 
 def clauses(text: str) -> list[str]:
     """Normalised words of each clause, in reading order: no digits, addresses or lane mark, single spaces."""
-    t = TITLE.sub(" ", ADDRESSES.sub(" ", LANE.sub("", unicodedata.normalize("NFC", text))))
-    out = []
-    for part in CLAUSE.split(t):
-        words = WORD.findall(part.casefold()) if part else []
-        if words:
-            out.append(" " + " ".join(words) + " ")
-    return out
+    t = text if text.isascii() else unicodedata.normalize("NFC", text)
+    t = LANE.sub("", t)
+    if "@" in t or "://" in t:
+        t = ADDRESSES.sub(" ", t)
+    if ". " in t:
+        t = TITLE.sub(" ", t)
+    parts = [WORD.findall(part) for part in CLAUSE.split(t.casefold()) if part]
+    return [" " + " ".join(words) + " " for words in parts if words]
 
 
 #: Weight of phrases in words that no training text has: mostly names.
@@ -110,6 +109,7 @@ class Model:
 
     def __init__(self, texts: dict[str, str], usual: str = "en"):
         self.usual = usual
+        self.memo: dict[str, list[float]] = {}
         self.codes: dict[str, int] = {}
         self.automata = {lang: Automaton(t, self.codes) for lang, t in sorted(texts.items()) if t}
         self.langs = list(self.automata)
@@ -127,30 +127,35 @@ class Model:
         self.price = {k: v / most for k, v in self.price.items()}
 
     def costs(self, clause: str) -> list[float]:
-        get = self.codes.get
-        known, rare = [], []
-        for w in clause.split():
-            (known if w in self.known else rare).append(w)
-        rare = [w for w in rare if w not in self.neutral]
-        total = [0.0] * len(self.langs)
-        for words, weight in ((known, 1.0), (rare, RARE)):
-            if words:
-                seq = [get(ch, 0) % 4096 for ch in " " + " ".join(words) + " "]
-                for i, x in enumerate(self.langs):
-                    total[i] += self.automata[x].phrases(seq) * self.price[x] * weight
-        return total
-
-    def segments(self, text: str, switch: float, declared: list[str]) -> list[tuple[str, float, int]]:
-        """(language, confidence, letters) of each unbroken stretch: the cheapest path over the clauses, a change costs ``switch``.
-
-        A declared language is worth ``DECLARED`` phrases, another than the usual one costs ``UNUSUAL``.
+        known = self.known
+        words = [w for w in clause.split() if w in known]
+        # Unknown words are mostly names; they only count where there is nothing else.
+        key = " ".join(words) if words else " ".join(w for w in clause.split() if w not in self.neutral)
+        got = self.memo.get(key)
+        if got is None:
+            seq = [self.codes.get(ch, 0) % 4096 for ch in f" {key} "]
+            weight = 1.0 if words else RARE
+            got = [self.automata[x].phrases(seq) * self.price[x] * weight if key else 0.0 for x in self.langs]
+            if len(self.memo) >= 50_000:
+                self.memo.clear()
+            self.memo[key] = got
+        return got
+
+    def segments(self, text: str, switch: float) -> tuple[list[tuple[str, float, int]], list[str]]:
+        """(language, confidence, letters) of each unbroken stretch, and the languages that fit a text of one language as well.
+
+        The stretches are the cheapest path over the clauses; a change costs ``switch``, starting in another language
+        than the usual one ``UNUSUAL``. A language fits as well if it is at most ``DECLARED`` phrases dearer.
         """
         rows = clauses(text)
         if not rows or not self.langs:
-            return []
+            return [], []
         costs = [self.costs(r) for r in rows]
-        costs[0] = [c - DECLARED * (x in declared) + UNUSUAL * (x != self.usual) for c, x in zip(costs[0], self.langs)]
+        costs[0] = [c + UNUSUAL * (x != self.usual) for c, x in zip(costs[0], self.langs)]
         k = range(len(self.langs))
+        whole = [sum(c[x] for c in costs) for x in k]
+        least = min(whole)
+        close = [self.langs[x] for x in k if whole[x] <= least + DECLARED]
         total, back = list(costs[0]), []
         for row in costs[1:]:
             best = min(k, key=total.__getitem__)
@@ -173,7 +178,7 @@ class Model:
             share = 1 / sum(2.0 ** max(-60.0, min(60.0, own - s)) for s in sums)
             out.append((self.langs[path[i]], round(share, 6), sum(len(r) - 2 for r in rows[i:j])))
             i = j
-        return out
+        return out, close
 
 
 def _kept(texts: dict[str, str]) -> Model:
@@ -202,28 +207,33 @@ def _joined(rows: list[str], chars: int, often: int = 3) -> str:
     return " " + " ".join(out) + " " if out else ""
 
 
-def fit(trusted: DataFrame, labelled: DataFrame | None = None, rows: int = 2000, chars: int = 60_000, longest: int = 3000) -> dict[str, str]:
-    """Training text per language from a bounded sample of labelled rows (``text``, ``lang``).
+def sample_rows(df: DataFrame, lang: str, key: list[str], rows: int) -> DataFrame:
+    """At most ``rows`` rows per language, chosen by the hash of ``key``: a count per language sets the share to keep, so
+    that no language is gathered or sorted whole."""
+    own = df.where(F.col(lang).isin(*LANGS))
+    counts = {r[0]: r[1] for r in own.groupBy(lang).agg(F.count(F.lit(1))).collect()}
+    spot = F.pmod(F.xxhash64(*key), F.lit(1 << 30))
+    keep = F.lit(False)
+    for name, n in sorted(counts.items()):
+        keep = keep | ((F.col(lang) == name) & (spot < F.lit(int(min(1.0, 2 * rows / n) * (1 << 30)))))
+    w = Window.partitionBy(lang).orderBy(spot, *key)
+    return own.where(keep).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= rows).drop("_rn")
 
-    The sample has at most ``rows`` rows of at most ``longest`` characters per language and table, the first by
-    hash, and gives at most ``chars`` letters each; it is all that reaches the driver. ``trusted`` labels are
-    taken as they are. Rows and clauses of ``labelled``, whose labels may be wrong, only join if at least half of
-    their words are more usual in rows of that label than of any other. Languages without rows are left out.
+
+def fit(trusted: DataFrame, labelled: DataFrame | None = None, chars: int = 60_000, longest: int = 3000) -> dict[str, str]:
+    """Training text per language from bounded samples of labelled rows (``text``, ``lang``), as :func:`sample_rows` gives.
+
+    Both samples come to the driver, texts longer than ``longest`` characters left out; each gives at most ``chars``
+    letters per language. ``trusted`` labels are taken as they are. Rows and clauses of ``labelled``, whose labels may be
+    wrong, only join if at least half of their words are more usual in rows of that label than of any other. Languages
+    without rows are left out.
     """
 
     def first(df: DataFrame) -> dict[str, list[str]]:
-        own = df.where(F.col("text").isNotNull() & (F.length("text").between(12, longest)))
-        parts = [
-            own.where(F.col("lang") == lang).select("lang", "text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(rows)
-            for lang in LANGS
-        ]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
         got: dict[str, list[str]] = {}
-        for r in every.collect():
+        for r in df.where(F.length("text").between(12, longest)).select("lang", "text").collect():
             got.setdefault(r["lang"], []).append(r["text"])
-        return got
+        return {lang: sorted(t) for lang, t in got.items()}
 
     sure = first(trusted)
     unsure = first(labelled) if labelled is not None else {}
@@ -252,23 +262,22 @@ def t_words(text: str) -> str:
     return " ".join(clauses(text))
 
 
-SEGMENTS = "array<struct<lang:string,confidence:double,letters:int>>"
+VERDICT = "struct<segments:array<struct<lang:string,confidence:double,letters:int>>,close:array<string>>"
 
 
-def identify(rows: DataFrame, model: dict[str, str], text: str = "text", declared: str = "declared", switch: float = 5.5) -> DataFrame:
-    """Adds ``segments``: the languages of ``text`` in reading order, each with a confidence; empty where it has no words.
-
-    ``declared``: array of the languages the row's labels name; they only decide where the words don't.
-    """
+def identify(rows: DataFrame, model: dict[str, str], text: str = "text", switch: float = 5.5) -> DataFrame:
+    """Adds ``found``: ``segments``, the languages of ``text`` in reading order, each with a confidence (none where it has no
+    words), and ``close``, the languages that fit the whole text as well."""
     held = rows.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(SEGMENTS)
-    def segments(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf(VERDICT)
+    def verdict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = _kept(held.value)
-        for texts, marks in batches:
-            yield pd.Series([own.segments(t, switch, list(m)) if t else [] for t, m in zip(texts, marks)], dtype=object)
+        for s in batches:
+            both = [own.segments(t, switch) if t else ([], []) for t in s]
+            yield pd.DataFrame({"segments": [x for x, _ in both], "close": [y for _, y in both]})
 
-    return rows.withColumn("segments", segments(F.coalesce(F.col(text), F.lit("")), F.col(declared)))
+    return rows.withColumn("found", verdict(F.coalesce(F.col(text), F.lit(""))))
 
 
 def judge(texts: DataFrame, labels: DataFrame, model: dict[str, str], switch: float = 5.5) -> DataFrame:
@@ -276,19 +285,20 @@ def judge(texts: DataFrame, labels: DataFrame, model: dict[str, str], switch: fl
 
     ``texts``: src_table, row_id, text; ``labels``: src_table, row_id, lang_label. state: ``mixed`` (two or more
     languages in turn), ``unlabelled`` (no label that names a language), ``wrong``, ``right``, ``none`` (no words).
-    Null and empty texts are ``none``; repeated rows count once; of several labels one right one suffices.
+    A label is right as well where its language fits the words as well as the found one. Null and empty texts are
+    ``none``; repeated rows count once; of several labels one right one suffices. Texts are read once and never shuffled.
     """
     marks = labels.select("src_table", "row_id", named(F.col("lang_label")).alias("lang")).where("row_id IS NOT NULL")
     marks = marks.groupBy("src_table", "row_id").agg(F.array_sort(F.collect_set("lang")).alias("declared"))
-    rows = once(texts.select("src_table", "row_id", "text")).join(marks, ["src_table", "row_id"], "left")
-    rows = rows.withColumn("declared", F.coalesce("declared", F.array().cast("array<string>")))
-    both = identify(rows, model, switch=switch)
+    seen = identify(texts.select("src_table", "row_id", "text"), model, switch=switch).select("src_table", "row_id", "found")
+    both = seen.distinct().join(marks, ["src_table", "row_id"], "left")
+    both = both.select("src_table", "row_id", F.coalesce("declared", F.array().cast("array<string>")).alias("declared"), "found.*")
     lang = F.col("segments")[0]["lang"]
     state = (
         F.when(F.size("segments") == 0, "none")
         .when(F.size("segments") > 1, "mixed")
         .when(F.size("declared") == 0, "unlabelled")
-        .when(F.array_contains("declared", lang), "right")
+        .when(F.array_contains("declared", lang) | F.arrays_overlap("declared", "close"), "right")
         .otherwise("wrong")
     )
     return both.select("src_table", "row_id", "declared", "segments", state.alias("state"))
