@@ -219,8 +219,8 @@ def find_items(texts: DataFrame, persons: DataFrame, nicknames: DataFrame, discl
     elsewhere = F.col("of_term") - F.col("both") + 1
     usual = F.least(F.lit(0.3), elsewhere / F.greatest(F.lit(every) - F.col("of_place") + 10, F.lit(10)))
     own = F.col("both") * F.log(F.lit(0.9) / usual) + (F.col("of_place") - F.col("both")) * F.log(F.lit(0.1) / (1 - usual))
-    phrases = uses.where(F.lit(PRIOR) - own <= disclosure).select(F.struct("term", "place").alias("use"), F.lit(True).alias("phrase"))
-    judged = lookup_join(maybe.withColumn("use", F.struct("term", "place")), cut(phrases), "use")
+    phrases = uses.where(F.lit(PRIOR) - own <= disclosure).select(F.concat_ws("\t", "term", "place").alias("use"), F.lit(True).alias("phrase"))
+    judged = lookup_join(maybe.withColumn("use", F.concat_ws("\t", "term", "place")), cut(phrases), "use")
     names = judged.where("phrase IS NULL").select(*keys)
     return fixed.unionByName(numbers).unionByName(sure).unionByName(names).distinct()
 
