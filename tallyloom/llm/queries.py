@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, names, overlap, privacy
+from tallyloom.llm import language, names, overlap, privacy, truncation
 from tallyloom.runtime import table
 
 
@@ -65,6 +65,18 @@ def p4_texts(spark: SparkSession, d: str) -> DataFrame:
     return privacy.sanitise(*_items(spark, d))
 
 
-QUERIES = {"p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_labels": p5_labels, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_report": p7_report}
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(truncation.project_texts(table(spark, d, "documents")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d).where("cut").select(F.col("id").alias("doc_id"))
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.report(_truncated(spark, d))
+
+
+QUERIES = {"p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_labels": p5_labels, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_report": p7_report, "p10_found": p10_found, "p10_report": p10_report}
 
 SQL: dict[str, str] = {}
