@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, names, overlap, privacy, truncation
+from tallyloom.llm import language, mixing, names, overlap, packing, privacy, truncation
 from tallyloom.runtime import table
 
 
@@ -77,6 +77,27 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.report(_truncated(spark, d))
 
 
-QUERIES = {"p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_labels": p5_labels, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_report": p7_report, "p10_found": p10_found, "p10_report": p10_report}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p8_containers(spark, d))
+
+
+def p9_mixes(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_full_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached by mixes as large as their sources together, where small sources are clamped."""
+    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"), times=1.0)[1]
+
+
+QUERIES = {"p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_labels": p5_labels, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_report": p7_report, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixes": p9_mixes, "p9_shares": p9_shares, "p9_full_shares": p9_full_shares, "p10_found": p10_found, "p10_report": p10_report}
 
 SQL: dict[str, str] = {}
