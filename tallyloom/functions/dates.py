@@ -93,18 +93,31 @@ def phrase_dimension(anchors: DataFrame, anchor: str) -> DataFrame:
     return days.select("anchor", F.explode(rows).alias("r")).select("anchor", "r.*")
 
 
-def find_phrase(text: str | Column, anchor: Column) -> Column:
-    """The longest known phrase in a text with its days: struct(phrase, start_day, end_day, residual), or null.
-
-    Of phrases of one length the first of the list counts; the residual is the text without it.
+def phrase_names() -> list[str]:
+    """All known phrases, longer ones first."""
+    months = MONTHS
+    fixed = ["today", "yesterday", "day before yesterday", "tomorrow", "business week", "last fortnight", "month to date", "quarter to date", "year to date"]
+    fixed += ["this quarter", "last quarter", "this fiscal year", "last fiscal year", "first half of the month", "second half of the month"]
+    fixed += [f"{p} {w}" for p in ("last", "this", "next") for w in ("week", "weekend", "month", "year", *WEEKDAYS)]
+    fixed += [f"last {n} days" for n in (7, 14, 30, 90)] + [f"{n} week of the month" for n in ("first", "second", "third", "fourth")]
+    fixed += [f"{n} days ago" for n in (2, 3, 4, 5, 6, 7, "two", "three", "four", "five", "six", "seven")]
+    return sorted([*fixed, *months], key=lambda p: (-len(p), p))
+
+
+def find_phrases(df: DataFrame, text: str, anchor: str) -> DataFrame:
+    """Rows whose text has a known phrase, with phrase, start_day, end_day and the text without it (residual).
+
+    Of several phrases the first in the text counts, of those that start together the longest. The days come from the
+    phrase dimension, joined on anchor and phrase; rows without a phrase or a day to anchor it on are left out.
     """
-    t = F.lower(F.col(text) if isinstance(text, str) else text)
-    out = F.lit(None).cast("struct<phrase:string,start_day:date,end_day:date,residual:string>")
-    for p, s, e in sorted(phrases(anchor), key=lambda x: len(x[0])):
-        pattern = rf"(^|[^a-z0-9]){p}($|[^a-z0-9])"
-        rest = F.trim(F.regexp_replace(F.regexp_replace(t, pattern, " "), r"\s+", " "))
-        out = F.when(F.regexp_like(t, F.lit(pattern)), F.struct(F.lit(p).alias("phrase"), s.alias("start_day"), e.alias("end_day"), rest.alias("residual"))).otherwise(out)
-    return out
+    t = F.lower(F.col(text))
+    pattern = r"(?<![a-z0-9])(" + "|".join(phrase_names()) + r")(?![a-z0-9])"
+    rows = df.withColumn("phrase", F.regexp_extract(t, pattern, 1)).where("phrase != ''")
+    rows = rows.withColumn("anchor", F.try_to_date(F.substring(anchor, 1, 10), "yyyy-MM-dd"))
+    dim = phrase_dimension(rows.select("anchor"), "anchor")
+    out = rows.join(dim, ["anchor", "phrase"])
+    rest = F.expr(f"concat(substr(lower({text}), 1, instr(lower({text}), phrase) - 1), substr(lower({text}), instr(lower({text}), phrase) + length(phrase)))")
+    return out.withColumn("residual", F.trim(F.regexp_replace(rest, r"\s+", " ")))
 
 
 def absolute_day(text: str | Column, anchor: Column) -> Column:

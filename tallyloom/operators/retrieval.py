@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import clamp, cosine, jaccard, normalise, search_words, trigrams, word_set
@@ -106,5 +106,5 @@ def vector_search(vectors: DataFrame, query: Column, k: int, domain: str | None
 
 def abstain(top: DataFrame, least: float) -> DataFrame:
     """The hits if the best one reaches ``least``, else none."""
-    best = top.agg(F.max("score").alias("_best")).where(F.col("_best") >= least)
-    return top.join(F.broadcast(best), F.col("_best").isNotNull(), "left_semi")
+    best = F.max("score").over(Window.partitionBy(F.lit(1)))  # over the few hits only
+    return top.withColumn("_best", best).where(F.col("_best") >= least).drop("_best")
