@@ -29,6 +29,10 @@ class Stock:
     def take(self, at: int) -> tuple[int, int]:
         return self.order.pop(at), self.sizes.pop(at)
 
+    def put(self, at: int, item: int, size: int) -> None:
+        self.order.insert(at, item)
+        self.sizes.insert(at, size)
+
     def best_pair(self, room: int, floor: int) -> int:
         """The largest sum of two items of at most ``room``; stops as soon as it exceeds ``floor``."""
         lo, hi, best = 0, self.fitting(room), 0
@@ -47,28 +51,31 @@ class Stock:
 def reduce_dominated(sizes: list[int], capacity: int) -> tuple[list[list[int]], Stock]:
     """Martello-Toth reduction: containers of at most two items that dominate every other container of their largest item.
 
-    For the largest open item with room ``r`` left, and ``k`` the largest item that fits beside it: the item alone is best
+    For each open item from the largest on, with room ``r`` left and ``k`` the largest item that fits beside it: the item alone is best
     if nothing fits; {item, k} is best if k fills the room, or if every other set of two or more items that fits (only
     pairs, when the three smallest don't fit) sums to at most k, for it could take k's place elsewhere.
     """
-    stock, fixed, kept = Stock(sizes), [], []
-    while len(stock):
-        i, w = stock.take(len(stock) - 1)
+    stock, fixed = Stock(sizes), []
+    # Items that stay open remain in the stock, for they may still go beside a smaller one; ``at`` is the next to look at.
+    at = len(stock) - 1
+    while at >= 0:
+        i, w = stock.take(at)
         room = capacity - w
         k = stock.fitting(room)
         if k < 0:
             fixed.append([i])
+            at -= 1
             continue
         fill = stock.sizes[k]
         pair_fits = len(stock) >= 2 and stock.sizes[0] + stock.sizes[1] <= room
         triple_fits = len(stock) >= 3 and sum(stock.sizes[:3]) <= room
         if fill == room or not pair_fits or (not triple_fits and stock.best_pair(room, fill) <= fill):
             fixed.append([i, stock.take(k)[0]])
+            at -= 2 if k < at else 1
         else:
-            kept.append((i, w))
-    rest = Stock([])
-    rest.order, rest.sizes = [i for i, _ in reversed(kept)], [w for _, w in reversed(kept)]
-    return fixed, rest
+            stock.put(at, i, w)
+            at -= 1
+    return fixed, stock
 
 
 def best_fit(rest: Stock, capacity: int) -> list[list[int]]:
