@@ -28,8 +28,17 @@ TOKEN = re.compile(r"\d+(?:[.:]\d+)*|[^\W\d_]+(?:[̀-ͯऀ-෿]+[^\W\d_]*)*|[€
 SPLIT = re.compile(r"\s*[,;+/|\n]+\s*|\s+[-–—&]\s+|[.!?。]\s+")
 
 
+_KNOWN_WORDS: dict[str, bool] = {}
+
+
 def _is_currency(w: str) -> bool:
-    return w in CURRENCY or len(w) > 3 and any(len(c) > 4 and near(w, c, 1) <= 1 for c in CURRENCY)
+    """A currency sign or word, slips included; remembered per word."""
+    got = _KNOWN_WORDS.get(w)
+    if got is None:
+        if len(_KNOWN_WORDS) > 100_000:
+            _KNOWN_WORDS.clear()
+        got = _KNOWN_WORDS[w] = w in CURRENCY or len(w) > 3 and any(len(c) > 4 and near(w, c, 1) <= 1 for c in CURRENCY)
+    return got
 
 
 def _opened(t: str) -> str:
@@ -40,7 +49,7 @@ def _opened(t: str) -> str:
         if not m or not t[m.end() :].strip():
             break
         first = head.split()[0]
-        if any(near(first, lane, 1) <= (len(lane) > 3) for lane in LANES) and re.match(r"[^\W\d_]+\s*[:–—-]", t):
+        if re.match(r"[^\W\d_]+\s*[:–—-]", t) and any(near(first, lane, 1) <= (len(lane) > 3) for lane in LANES):
             t = re.sub(r"^[^\W\d_]+\s*[:–—-]+\s*", "", t, count=1)
         elif head in OPENERS:
             t = t[m.end() :]
