@@ -7,11 +7,12 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tallyloom.functions.text import clamp, cosine, jaccard, normalise, search_words, trigrams, word_set
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_ratio(words: pd.Series, asked: pd.Series) -> pd.Series:
     """Mean over the asked words of the best matching-blocks ratio among words of a length at most four off; 1 if equal."""
     from difflib import SequenceMatcher
