@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: a lambda's argument is evaluated once, an expression wherever it stands."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalise(col: str | Column) -> Column:
     """Lower case, single spaces, none at the ends."""
     return F.trim(F.regexp_replace(F.lower(_c(col)), r"\s+", " "))
@@ -36,15 +41,22 @@ def word_set(col: str | Column) -> Column:
 
 def trigrams(col: str | Column) -> Column:
     """The set of three-letter pieces of the search form; a shorter text is its own piece."""
-    t = search_form(col)
-    n = F.length(t)
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= 3, F.array(t)).otherwise(F.array_distinct(pieces))
+
+    def of(t: Column) -> Column:
+        n = F.length(t)
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n <= 3, F.array(t)).otherwise(F.array_distinct(pieces))
+
+    return bound(search_form(col), of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+    def of(p: Column) -> Column:
+        union = F.size(F.array_union(p["a"], p["b"]))
+        return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(p["a"], p["b"])) / union)
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def first_upper(col: str | Column) -> Column:

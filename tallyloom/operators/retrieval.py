@@ -36,6 +36,13 @@ def matching_ratio(words: pd.Series, asked: pd.Series) -> pd.Series:
     return pd.Series([sum(best(q, set(ws)) for q in qs) / len(qs) if ws is not None and qs is not None and len(qs) else 0.0 for ws, qs in zip(words, asked)])
 
 
+def constant(df: DataFrame, value: Column) -> Column:
+    """The value of an expression over no columns as a literal, so that it isn't computed for every row."""
+    got = df.sparkSession.range(1).select(value.alias("v"))
+    kind, v = got.schema["v"].dataType.simpleString(), got.first()["v"]
+    return (F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)).cast(kind)
+
+
 def edit_ratio(a: Column, b: Column) -> Column:
     """1 less the edits per letter of the longer word; a native stand-in, and another number than the matching ratio."""
     n = F.greatest(F.length(a), F.length(b))
@@ -44,13 +51,13 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
 def lexical_parts(notes: DataFrame, query: str, text: str = "content") -> DataFrame:
     """phrase_hit, exact_recall, fuzzy_recall, trigram and their weighted sum ``lexical``."""
-    q = F.lit(query)
-    asked, have = search_words(q), search_words(text)
+    q = constant(notes, normalise(F.lit(query)))
+    asked, have = constant(notes, search_words(F.lit(query))), search_words(text)
     rows = notes.withColumn("_have", have).withColumn("_asked", asked)
-    phrase = F.when(F.length(normalise(q)) > 0, F.contains(normalise(text), normalise(q)).cast("double")).otherwise(0.0)
+    phrase = F.when(F.length(q) > 0, F.contains(normalise(text), q).cast("double")).otherwise(0.0)
     exact = F.when(F.size("_asked") > 0, F.size(F.filter("_asked", lambda w: F.array_contains(F.col("_have"), w))) / F.size("_asked")).otherwise(0.0)
     rows = rows.withColumn("phrase_hit", F.coalesce(phrase, F.lit(0.0))).withColumn("exact_recall", F.coalesce(exact, F.lit(0.0)))
-    rows = rows.withColumn("fuzzy_recall", matching_ratio("_have", "_asked")).withColumn("trigram", F.coalesce(jaccard(trigrams(text), trigrams(q)), F.lit(0.0)))
+    rows = rows.withColumn("fuzzy_recall", matching_ratio("_have", "_asked")).withColumn("trigram", F.coalesce(jaccard(trigrams(text), constant(notes, trigrams(F.lit(query)))), F.lit(0.0)))
     lexical = F.least(F.lit(1.0), 0.55 * F.col("phrase_hit") + 0.20 * F.col("exact_recall") + 0.20 * F.col("fuzzy_recall") + 0.05 * F.col("trigram"))
     return rows.drop("_have", "_asked").withColumn("lexical", lexical)
 
@@ -78,7 +85,8 @@ def note_search(notes: DataFrame, vectors: DataFrame, query: str, encode: Callab
     ``notes``: id, content; ``vectors``: note_id, vec. A note with several vectors counts with the nearest, one without with 0.
     The scan is one pass with a top-k; the query is a literal and nothing is broadcast.
     """
-    near = vectors.select(F.col("note_id").alias("id"), cosine(F.col("vec"), encode(F.lit(query))).alias("c")).groupBy("id").agg(F.max("c").alias("semantic"))
+    vec = constant(vectors, encode(F.lit(query)))
+    near = vectors.select(F.col("note_id").alias("id"), cosine(F.col("vec"), vec).alias("c")).groupBy("id").agg(F.max("c").alias("semantic"))
     rows = lexical_parts(notes.select("id", "content"), query).join(near, "id", "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
     rows = rows.withColumn("score", blend(F.col("lexical"), F.col("semantic")))
     top = rows.orderBy(F.desc("score"), F.desc("lexical"), F.desc("semantic"), F.desc("id")).limit(k)
@@ -88,10 +96,10 @@ def note_search(notes: DataFrame, vectors: DataFrame, query: str, encode: Callab
 
 def simple_scores(notes: DataFrame, vectors: DataFrame, query: str, encode: Callable[[Column], Column]) -> DataFrame:
     """A plainer scorer: containment and shared words for the text, the clamped cosine for the vector."""
-    q = word_set(F.lit(query))
+    q, vec = constant(notes, word_set(F.lit(query))), constant(vectors, encode(F.lit(query)))
     shared = F.when(F.size(q) > 0, F.size(F.array_intersect(word_set("content"), q)) / F.size(q)).otherwise(0.0)
     lex = 0.6 * F.contains(F.lower("content"), F.lit(query.lower())).cast("double") + 0.4 * shared
-    near = vectors.select(F.col("note_id").alias("id"), clamp(cosine(F.col("vec"), encode(F.lit(query))), 0.0, 1.0).alias("c")).groupBy("id").agg(F.max("c").alias("semantic"))
+    near = vectors.select(F.col("note_id").alias("id"), clamp(cosine(F.col("vec"), vec), 0.0, 1.0).alias("c")).groupBy("id").agg(F.max("c").alias("semantic"))
     rows = notes.select("id", "content", lex.alias("lexical")).join(near, "id", "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
     return rows.withColumn("score", 0.55 * F.col("lexical") + 0.45 * F.col("semantic"))
 
@@ -99,7 +107,7 @@ def simple_scores(notes: DataFrame, vectors: DataFrame, query: str, encode: Call
 def vector_search(vectors: DataFrame, query: Column, k: int, domain: str | None = None, least: float | None = None) -> DataFrame:
     """The ``k`` nearest vectors by cosine, of one domain and of at least a score where asked."""
     rows = vectors.where(F.col("domain") == domain) if domain else vectors
-    rows = rows.withColumn("score", F.round(cosine(F.col("embedding"), query), 6))
+    rows = rows.withColumn("score", F.round(cosine(F.col("embedding"), constant(vectors, query)), 6))
     if least is not None:
         rows = rows.where(F.col("score") >= least)
     return rows.orderBy(F.desc("score"), "id").limit(k)

@@ -339,7 +339,8 @@ def _(r: Records) -> DataFrame:
 @R.add("r3_blended")
 def _(r: Records) -> DataFrame:
     parts = S.lexical_parts(r.notes.select("id", "content"), QUERY)
-    near = _VEC(r).select(F.col("note_id").alias("id"), X.cosine(F.col("vec"), X.letter_vector(F.lit(QUERY))).alias("c")).groupBy("id").agg(F.max("c").alias("semantic"))
+    vec = S.constant(r.notes, X.letter_vector(F.lit(QUERY)))
+    near = _VEC(r).select(F.col("note_id").alias("id"), X.cosine(F.col("vec"), vec).alias("c")).groupBy("id").agg(F.max("c").alias("semantic"))
     j = parts.join(near, "id", "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
     return j.select("id", F.round("lexical", 6).alias("lexical"), F.round("semantic", 6).alias("semantic"), F.round(S.blend(F.col("lexical"), F.col("semantic")), 6).alias("score"))
 
