@@ -18,16 +18,17 @@ class SpikeRules:
     ``risk``: chance a true reading may exceed its source's tail cutoff; ``tail``: share of the readings that
     make up the tail; ``side``: readings on either side that make the local level; ``prior``: weight of the
     pooled tail, in exceedances; ``stuck_risk``: expected number of true runs as long as a stuck one;
-    ``low`` and ``high``: what no living person weighs, whatever the unit in use (kg or pounds).
+    ``low`` and ``high``: what no living person weighs, in kilograms.
     """
 
-    risk: float = 1e-5
+    risk: float = 2e-5
     tail: float = 0.2
     side: int = 5
     prior: float = 20.0
-    stuck_risk: float = 3e-3
+    stuck_risk: float = 0.02
+    stuck_least: int = 7
     low: float = 0.2
-    high: float = 1400.0
+    high: float = 650.0
     block: int = 2048
     days: int = 64
 
@@ -78,8 +79,9 @@ def implausible(readings: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFr
     * A generalised Pareto tail is fitted over the threshold that leaves ``tail`` of the residuals: the
       shape by probability-weighted moments over all sources, the size per source from its mean excess,
       shrunk to the pooled one. Gross outliers are kept out of the fit. The cutoff sits at ``risk``.
-    * Stuck: a run of one value is flagged if the source's usual rate of repeats (its longest run left out)
-      makes less than ``stuck_risk`` such runs likely.
+    * Stuck: a run of one value of at least ``stuck_least`` readings is flagged if the source's usual rate of repeats (its
+      longest run left out) makes less than ``stuck_risk`` such runs likely and it is twice as long as any other
+      of the source, or if they are twenty times less likely still.
     * Values outside (``low``, ``high``) are impossible.
 
     Null values, sources or days are never flagged; repeated rows count once; NaN and infinite values count as
@@ -154,12 +156,15 @@ def implausible(readings: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFr
     )
 
     runs = placed.groupBy("source", "_run").agg(F.count(F.lit(1)).alias("_len"), F.first("_count").alias("_count"), F.first("_all_runs").alias("_all_runs"))
-    longest = runs.groupBy("source").agg(F.max("_len").alias("_max"))
-    runs = runs.join(longest, "source")
+    top = runs.groupBy("source").agg(F.max(F.struct("_len", "_run")).alias("_top"))
+    runs = runs.join(top, "source").withColumn("_max", F.col("_top._len"))
+    second = runs.groupBy("source").agg(F.coalesce(F.max(F.when(F.col("_run") != F.col("_top._run"), F.col("_len"))), F.lit(1)).alias("_second"))
+    runs = runs.where(F.col("_len") >= p.stuck_least).join(second, "source")
     rest, others = F.col("_count") - F.col("_max"), F.col("_all_runs") - 1
-    rate = (F.greatest(rest - others, F.lit(0)) + 0.5) / (F.greatest(rest, F.lit(0)) + 5.0)
+    rate = (F.greatest(rest - others, F.lit(0)) + 0.5) / (F.greatest(rest, F.lit(0)) + 1.0)
     likely = F.col("_count") * F.pow(F.least(rate, F.lit(0.999)), F.col("_len") - 1)
-    stuck_runs = runs.where((F.col("_len") >= 4) & (likely < p.stuck_risk)).select("source", "_run")
+    far = (likely < p.stuck_risk) & (F.col("_len") >= 2 * F.col("_second")) | (likely < p.stuck_risk / 20)
+    stuck_runs = runs.where(far).select("source", "_run")
     stuck = placed.join(stuck_runs, ["source", "_run"]).select("source", "reading_id", "value", F.lit("stuck").alias("reason"))
 
     flagged = gross.unionByName(spikes).unionByName(stuck)
@@ -170,7 +175,7 @@ def implausible(readings: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFr
 
 def _cutoffs(resid: DataFrame, p: SpikeRules) -> DataFrame:
     """Per source the tail cutoff of its scaled residuals, from a generalised Pareto fit."""
-    sane = resid.where(F.col("_r") < 8.0)
+    sane = resid.where(F.col("_r") < 5.0)
     u = sane.agg(F.percentile_approx("_r", 1 - p.tail, 10000)).first()[0] or 1.0
     excess = sane.where(F.col("_r") > u).withColumn("_x", F.col("_r") - u)
     # Probability-weighted moments of the pooled excesses, from a histogram of fixed size.
