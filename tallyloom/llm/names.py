@@ -26,6 +26,10 @@ ORG = LEGAL | KINDS
 ORDER, MIDDLE, LEGAL_FORM, NICK, CORE, TRUNCATED, INITIAL, EDIT = 0.3, 0.3, 0.5, 1.0, 3.0, 3.0, 4.0, 5.0
 
 
+#: In place of left-out words: the form is only good for a spelling without slips.
+EXACT = "="
+
+
 def squeeze(text: str) -> str:
     """One writing for sounds that are written in several ways."""
     text = text.replace("oo", "u").replace("ee", "i").replace("shri", "sri")
@@ -92,6 +96,7 @@ def entry_forms(name: str, nicks: dict[str, list[str]]) -> Iterator[tuple[str, f
         yield "".join(words), 0.0, ""
     for given, cost in [(first, 0.0), *[(n, NICK) for n in nicks.get(first, [])]]:
         yield given + last, cost, ""
+        yield last + given, cost + ORDER, EXACT  # for a spelling without a space
         for k in range(3, len(last)):
             yield given + last[:k], cost + TRUNCATED, ""
     yield first[0] + last, INITIAL, ""
@@ -210,7 +215,7 @@ def link_spellings(spellings: DataFrame, entries: DataFrame, nicknames: DataFram
     for k in (0, 1, 2):
         # A truncated form or an initial keeps too few letters to bear two edits.
         right = forms if k < 2 else forms.where((F.col("cost") < TRUNCATED) | F.col("form").startswith("#"))
-        right = right.withColumnRenamed("rest", "theirs")
+        right = right.where((F.col("rest") != EXACT) | F.lit(k == 0)).withColumnRenamed("rest", "theirs")
         if k == 0:
             pairs = open_.join(right, open_["asked"] == right["form"])
         else:

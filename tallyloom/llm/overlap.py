@@ -16,6 +16,7 @@ from tallyloom.runtime import cut, once
 LANES = {"expense", "expenses", "buy", "shopping", "todo", "todos", "task", "ledger", "note", "weight", "ask", "spent"}
 OPENERS = ("pls add", "please add", "ok so", "pls", "please", "again", "hey", "hi", "ok", "okay", "so", "add", "and", "fyi", "note to self")
 CLOSERS = {"thanks", "thank", "you", "thx", "ty", "voice", "please", "pls", "ok", "bye", "typed", "scan", "forwarded"}
+CHATTER = CLOSERS | {w for o in OPENERS for w in o.split()}
 CURRENCY = {"rs", "inr", "rupees", "rupee", "rupaye", "rupay", "rubai", "usd", "eur", "euro", "euros", "€", "$", "₹", "रुपये", "ரூபாய்"}
 TIMES = {
     "today", "yesterday", "tomorrow", "tonight", "morning", "evening", "night", "noon", "afternoon", "week", "weekend", "month", "year", "last", "next", "this",
@@ -70,9 +71,9 @@ def items_of(text: str) -> list[list[str]]:
     items = []
     for part in SPLIT.split(t):
         words = [w for w in TOKEN.findall(_opened(part)) if not _is_currency(w)]
-        if words:
+        if words and not all(w in CHATTER for w in words):
             items.append([w.lstrip("0") or "0" if w.isdigit() else w for w in words])
-    while items and items[-1] and items[-1][-1] in CLOSERS:
+    while items and items[-1] and (items[-1][-1] in CLOSERS or near(items[-1][-1], "thanks", 1) <= 1):
         items[-1].pop()
         if not items[-1]:
             items.pop()
