@@ -19,6 +19,16 @@ RECORD = "lane:string,disposition:string,records:array<struct<description:string
 
 _TAG = re.compile(rf"^\s*({TAGS}|shopping)\s*[:–-]\s+", re.I)
 _SEP = re.compile(r"\s*(?:(?<!\d),|,(?!\d)|[;|/+\n])\s*")
+#: Conjunctions between items of a list, where a part holds more than one number.
+_AND = re.compile(r"\s+(?:aur|and|appuram|und(?:\s+noch)?|dann|y(?:\s+otros)?|luego|et(?:\s+encore)?|puis|और)\s+", re.I)
+#: Words around a number and its item.
+_AROUND = re.compile(r"\b(?:ke liye|rupaye|diye|ku|rubai|kuduthen|pe|pour|por|für|bezahlt|ausgegeben|gasté|pagué|j'ai payé|dépensé|habe ich|kharch hue|vaanga|selavu aachu)\b|के लिए|रुपये|दिए|पर|खर्च हुए|வாங்க|ரூபாய்|கொடுத்தேன்|செலவு", re.I)
+_THEN = re.compile(r"\s+(?:aur\s+phir|aur\s+uske\s+baad|and\s+then|y\s+después|et\s+ensuite|und\s+danach|और\s+फिर)\s+", re.I)
+_LIST = re.compile(r"\s+(?:aur|appuram|und(?:\s+auch)?|y(?:\s+también)?|et(?:\s+aussi)?|और|மற்றும்)\s+", re.I)
+_END = re.compile(r"(?<!\bDr)(?<!\bMr)(?<!\bMrs)(?<!\bRs)[.।]\s")
+#: How a remark that is no item of its own begins.
+_REMARK = re.compile(r"^(?:the receipt|as told|to be shared|all paid|for the trip|still to be|bought at|before the|while we|thanks)\b", re.I)
+_NUMBER = re.compile(r"(?<![\w.:])\d[\d,]*(?:\.\d+)?(?![\w:])")
 _MONEY = re.compile(r"(?:^|(?<=\s))(?:for\s+)?(?:rs\.?\s*|₹\s*|inr\s*)?(\d[\d,]*(?:\.\d+)?)\s*(?:rs|rupees|/-)?(?=\s|$)", re.I)
 _QUANTITY = re.compile(rf"(?:^|(?<=\s))(\d+(?:\.\d+)?)\s*({'|'.join(UNITS)})(?=\s|$)", re.I)
 _WEIGHT = re.compile(r"(\d{1,3}(?:\.\d+)?)\s*(?:kg|kgs)?\b", re.I)
@@ -48,12 +58,15 @@ def parse(text: str) -> dict:
     tag = _TAG.match(text)
     body = text[tag.end() :] if tag else text
     lane = tag.group(1).lower().replace("shopping", "buy") if tag else None
-    parts = [p.strip(" .!?") for p in _SEP.split(body) if p.strip(" .!?")]
+    parts = [p.strip(" .!?") for p in _END.split(body) for p in _SEP.split(p) if p.strip(" .!?")]
+    # A remark ends the list.
+    end = next((i for i, p in enumerate(parts) if i and _REMARK.match(p)), len(parts))
+    parts = parts[:end]
     if lane is None:
         first = parts[0] if parts else ""
         if any(rx.search(first) for _, rx in _DEALS):
             lane = "ledger"
-        elif re.search(r"\bweigh|\bkg\b.*(?:today|morning|food|walk)", body, re.I):
+        elif re.search(r"\bweigh|\d\s*kg\b.*(?:today|morning|food|walk)", body, re.I):
             lane = "weight"
         elif _QUANTITY.search(first):
             lane = "buy"
@@ -62,16 +75,21 @@ def parse(text: str) -> dict:
         else:
             lane = "todo"
     out = []
+    if lane == "expense":
+        parts = [x for p in parts for x in (_AND.split(p) if len(_NUMBER.findall(p)) > 1 else [p])]
+    if lane in ("todo", "buy"):
+        rx = _THEN if lane == "todo" else _LIST
+        parts = [x for p in parts for x in rx.split(p) if x]
     for p in parts:
         if lane == "expense" and (m := _MONEY.search(p)):
-            what = (p[: m.start()] + " " + p[m.end() :]).strip()
+            what = _AROUND.sub(" ", p[: m.start()] + " " + p[m.end() :]).strip()
             if what:
                 out.append(_rec(description=re.sub(r"\s+", " ", what), amount=_number(m.group(1))))
         elif lane == "buy":
             m = _QUANTITY.search(p)
             if m:
                 out.append(_rec(item_text=re.sub(r"\s+", " ", p[: m.start()] + " " + p[m.end() :]).strip(), quantity_text=m.group(1), unit_text=m.group(2).lower()))
-            elif not out:
+            else:
                 out.append(_rec(item_text=p))
         elif lane == "ledger":
             for action, rx in _DEALS:
