@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.runtime import cut
+from tallyloom.runtime import cut, lookup_join
 
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "smt", "mister", "madam", "master"}
 SUFFIXES = {"sir", "akka", "anna", "bhai", "amma", "uncle", "aunty", "aunt", "ji", "didi", "jr", "sr", "madam"}
@@ -75,7 +75,7 @@ def _is_org(words: list[str]) -> bool:
     return len(words) != 1 and any(w in ORG for w in words)
 
 
-def entry_forms(name: str, nicks: dict[str, list[str]]) -> Iterator[tuple[str, float, str]]:
+def entry_forms(name: str, nicks: list[str]) -> Iterator[tuple[str, float, str]]:
     """(form, cost, rest) of every canonical rewriting of an entry's name; rest has the words a short form leaves out."""
     words = clean(name) or [name.strip().casefold()]
     if not "".join(words):
@@ -94,7 +94,7 @@ def entry_forms(name: str, nicks: dict[str, list[str]]) -> Iterator[tuple[str, f
     first, last = words[0], words[-1]
     if len(words) > 2:
         yield "".join(words), 0.0, ""
-    for given, cost in [(first, 0.0), *[(n, NICK) for n in nicks.get(first, [])]]:
+    for given, cost in [(first, 0.0), *[(n, NICK) for n in nicks]]:
         yield given + last, cost, ""
         yield last + given, cost + ORDER, EXACT  # for a spelling without a space
         for k in range(3, len(last)):
@@ -151,8 +151,7 @@ FORMS = "array<struct<form:string,cost:double,rest:string>>"
 def link_spellings(spellings: DataFrame, entries: DataFrame, nicknames: DataFrame) -> DataFrame:
     """One row per distinct spelling that is not itself an entry's name: spelling, person_id (null: means none), cost.
 
-    ``spellings``: spelling; ``entries``: id, name; ``nicknames``: given_name, nickname (a fixed, small table,
-    at most ``10**6`` rows, gathered on the driver). Rewritings of both sides are exploded and equi-joined in
+    ``spellings``: spelling; ``entries``: id, name; ``nicknames``: given_name, nickname. Rewritings of both sides are exploded and equi-joined in
     three rounds, each for the spellings that the last left open: exact forms, then forms one and then two
     letters apart (through left-out letters, verified by edit distance). The price of a link is what its rules
     cost plus log2 of the number of entries that share the form, so rare rewritings win. Where two entries
@@ -161,21 +160,24 @@ def link_spellings(spellings: DataFrame, entries: DataFrame, nicknames: DataFram
     Forms are aggregated per form before the join, so a form that many entries share adds one row, not pairs.
     Null, blank and nameless spellings link to none; null names make no forms; an entry delivered twice counts once.
     """
-    nicks: dict[str, list[str]] = {}
-    for r in nicknames.where("given_name IS NOT NULL AND nickname IS NOT NULL").select("given_name", "nickname").distinct().limit(10**6).collect():
-        nicks.setdefault(r[0].strip().casefold(), []).append(r[1].strip().casefold())
-    held = spellings.sparkSession.sparkContext.broadcast({k: sorted(v) for k, v in nicks.items()})
+
+    @F.pandas_udf("string")
+    def given(name: pd.Series) -> pd.Series:
+        return name.map(lambda n: words[0] if len(words := clean(n)) > 1 and not _is_org(words) else None)
 
     @F.pandas_udf(FORMS)
-    def of_entry(name: pd.Series) -> pd.Series:
-        return name.map(lambda n: [(squeeze(f), c, r) for f, c, r in entry_forms(n, held.value)])
+    def of_entry(name: pd.Series, nicks: pd.Series) -> pd.Series:
+        return pd.Series([[(squeeze(f), c, r) for f, c, r in entry_forms(n, [] if k is None else list(k))] for n, k in zip(name, nicks)], dtype=object)
 
     @F.pandas_udf(FORMS)
     def of_spelling(text: pd.Series) -> pd.Series:
         return text.map(lambda s: [(squeeze(f), c, r) for f, c, r in spelling_forms(s)])
 
     people = entries.where(F.col("id").isNotNull() & F.col("name").isNotNull()).groupBy("id").agg(F.min("name").alias("name"))
-    forms = people.select("id", F.explode(of_entry("name")).alias("f")).select("id", "f.*")
+    short = nicknames.where("given_name IS NOT NULL AND nickname IS NOT NULL").groupBy(F.lower(F.trim("given_name")).alias("given"))
+    short = short.agg(F.array_sort(F.collect_set(F.lower(F.trim("nickname")))).alias("nicks"))  # the short forms of one name
+    named = lookup_join(cut(people.withColumn("given", given("name"))), short, "given")
+    forms = named.select("id", F.explode(of_entry("name", "nicks")).alias("f")).select("id", "f.*")
     forms = forms.groupBy("id", "form").agg(F.min(F.struct("cost", "rest")).alias("b")).select("id", "form", "b.*")
     least = forms.groupBy("form").agg(F.min("cost").alias("cost"), F.count(F.lit(1)).alias("shared"))
     best = forms.join(least.withColumnRenamed("cost", "least"), "form").where(F.col("cost") == F.col("least"))
