@@ -17,12 +17,12 @@ def uniform(seed: int, *cols: str | Column) -> Column:
 
 
 def seeded_places(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """A seeded order of all rows as places 1, 2, ...: rows are dealt to 256 ranges of the hash, ordered within each, and
+    """A seeded order of all rows as places 1, 2, ...: rows are dealt to 4,096 ranges of the hash, ordered within each, and
     the ranges' sizes added up, so no task sorts them all."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    rows = df.withColumn("_h", h).withColumn("_r", F.substring("_h", 1, 2))
+    rows = df.withColumn("_h", h).withColumn("_r", F.substring("_h", 1, 3))
     sizes = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows
+    upto = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows at most
     starts = sizes.select("_r", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_r").orderBy("_h", key))
     return rows.withColumn("_in", inside).join(F.broadcast(starts), "_r").withColumn("place", F.col("_start") + F.col("_in")).drop("_h", "_r", "_in", "_start")

@@ -74,14 +74,15 @@ def without(df: DataFrame, tombstones: DataFrame, key: str, dead: str) -> DataFr
 def rotate(log: DataFrame, cap: int, least: int, order: str = "id") -> DataFrame:
     """Marks the oldest rows beyond ``cap``, at least ``least`` of them, as ``archived`` once a log is over its cap.
 
-    The edge comes from counts per range of the order, so the log isn't sorted in one task.
+    The edge is the oldest of the rows that stay, at most ``cap`` of them, so the log is never sorted whole. ``order`` is
+    unique.
     """
     total = log.count()
-    away = max(least, total - cap) if total > cap else 0
-    if not away:
+    if total <= cap:
         return log.withColumn("archived", F.lit(False))
-    edge = log.select(F.col(order).alias("o")).orderBy("o").offset(min(away, total) - 1).limit(1).first()[0]
-    return log.withColumn("archived", F.col(order) <= F.lit(edge))
+    stay = max(0, min(cap, total - least))
+    edge = log.select(F.col(order).alias("o")).orderBy(F.desc("o")).limit(stay).agg(F.min("o")).first()[0] if stay else None
+    return log.withColumn("archived", F.lit(True) if edge is None else F.col(order) < F.lit(edge))
 
 
 def queue_state(changes: DataFrame, key: str, order: Sequence[str], status: Column) -> DataFrame:
