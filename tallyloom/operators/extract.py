@@ -246,3 +246,41 @@ def noisy(text: Column, key: Column, seed: int) -> Column:
 def follow_up_context(asks: DataFrame, key: str, order: str) -> DataFrame:
     """Each question with the one before it in the same session."""
     return asks.withColumn("before", F.lag("text").over(Window.partitionBy(key).orderBy(order)))
+
+
+#: What a deal does to the balance: given away counts for, taken against. Fixed values.
+DIRECTIONS = {"gave": "gave", "paid": "gave", "lent": "gave", "borrowed": "received", "received": "received", "owe": "received"}
+
+
+def deals(df: DataFrame, text: str = "input") -> DataFrame:
+    """Ledger entries in texts with the direction their words mean, whatever lane they are tagged with."""
+    m = F.create_map(*[F.lit(x) for kv in DIRECTIONS.items() for x in kv])
+    rows = extract(df, text).where("action IS NOT NULL")
+    return rows.select("id", "pos", "person_text", "amount", "action", m[F.col("action")].alias("direction"))
+
+
+def routes(texts: DataFrame) -> DataFrame:
+    """Where an input goes (id, text): ``read`` with a domain for questions, ``write`` with a lane for records, ``note`` for the rest."""
+    tag = tagged("text")["tag"]
+    asks = (tag == "ask") | F.regexp_like(F.lower("text"), F.lit(r"^\s*(?:what|who|how|when|show|list|compare|total)\b|\?\s*$"))
+    rows = extract(texts.where(tag.isin("", "expense", "buy", "todo", "ledger", "weight")).where(~asks), "text")
+    lanes = rows.groupBy("id").agg(F.first("lane").alias("lane"), F.count("pos").alias("n_records"), F.first("disposition").alias("disposition"))
+    out = texts.select("id", "text", asks.alias("asks"), tag.alias("tag")).join(lanes, "id", "left")
+    plain = (F.col("tag") == "note") | ((F.col("tag") == "") & (F.col("lane") == "todo"))
+    kind = F.when(F.col("asks"), "read").when(plain | (F.coalesce("n_records", F.lit(0)) == 0), "note").otherwise("write")
+    return out.select("id", kind.alias("route"), F.when(kind == "write", F.col("lane")).alias("lane"), F.when(kind == "write", F.col("n_records")).alias("n_records"))
+
+
+class RecordsOf:
+    """Table function ``extract_records(text)``: one row per record of a text."""
+
+    def eval(self, text: str):
+        got = parse(text or "")
+        for i, r in enumerate(got["records"]):
+            what = r["description"] or r["item_text"] or r["text"] or r["person_text"]
+            yield got["lane"], i, what, r["amount"] if r["amount"] is not None else r["value"]
+
+
+def register(spark) -> None:
+    """Makes ``extract_records`` known to SQL: ``SELECT * FROM t, LATERAL extract_records(t.text)``."""
+    spark.udtf.register("extract_records", F.udtf(RecordsOf, returnType="lane: string, pos: int, what: string, amount: double"))

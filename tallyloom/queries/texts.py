@@ -415,6 +415,23 @@ def _(r: Records) -> DataFrame:
     return E.infer_groups(r.expenses)
 
 
+@R.add("e9_e11_routes")
+def _(r: Records) -> DataFrame:
+    return E.routes(r.activity.select("id", F.col("input_text").alias("text")))
+
+
+@R.add("e10_deals")
+def _(r: Records) -> DataFrame:
+    return E.deals(r.writes.select("id", "input"))
+
+
+@R.add("e_table_function")
+def _(r: Records) -> DataFrame:
+    E.register(r.spark)
+    r.writes.select("id", "input").createOrReplaceTempView("typed_inputs")
+    return r.spark.sql("SELECT t.id, e.lane, e.pos, e.what, e.amount FROM typed_inputs t, LATERAL extract_records(t.input) e")
+
+
 @R.add("e12_follow_ups", r"SELECT id, len(string_split(trim(regexp_replace(lower(input_text), '^\s*ask\s*[:-]\s+', '')), ' ')) <= 4 AS follow_up FROM x_activity WHERE kind = 'ask'")
 def _(r: Records) -> DataFrame:
     body = F.trim(F.regexp_replace(F.lower("input_text"), r"^\s*ask\s*[:-]\s+", ""))
