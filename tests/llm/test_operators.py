@@ -26,32 +26,33 @@ def _items(spark, texts, people=("anbelu dorthoneksha", "joy raddilnadhi", "new
     return t, privacy.find_items(t, p, n)
 
 
-@pytest.mark.parametrize(
-    "text, want",
-    [
-        ("mail a.b+c@mail.example about it", [("email", "a.b+c@mail.example")]),
-        ("wrote to joe_x (at) post dot example, no answer", [("email", "joe_x (at) post dot example")]),
-        ("Bought 2 @ 08 each, tagged it @home", []),
-        ("call +44 7700 900 343 or (201) 555-0123 now", [("phone", "+44 7700 900 343"), ("phone", "(201) 555-0123")]),
-        ("plumber 020 7946 0332, 55675-91740, 0491 570 156", [("phone", "020 7946 0332"), ("phone", "55675-91740"), ("phone", "0491 570 156")]),
-        ("passport no Z0090173 and 000-34-3633", [("idnum", "Z0090173"), ("idnum", "000-34-3633")]),
-        ("passport no 4770 0547 0379", [("idnum", "4770 0547 0379")]),
-        ("invoice no 4770 0547 0379, order ref 2025185357, version 3.45.1, 2019-2024", []),
-        ("Pickup from Flat 3B, 209 Brick Kiln Ave, Old Tarvin at ten", [("address", "Flat 3B, 209 Brick Kiln Ave, Old Tarvin")]),
-        ("Walked along Temple Tank Road till 18:30.", []),
-        ("au 34 ter rue des Tilleuls Bleus la semaine", [("address", "34 ter rue des Tilleuls Bleus")]),
-        ("va a C/ Molino Seco 226, 3º B la semana", [("address", "C/ Molino Seco 226, 3º B")]),
-        ("die Adresse Eschenkampstraße 90b gehen", [("address", "Eschenkampstraße 90b")]),
-        ("Gave Mrs. Anbelu Sushtan 5 for tea", [("name", "Anbelu Sushtan")]),
-        ("asked belui to wait", [("name", "belui")]),
-        ("Met Dr. Xerxion Vantek near the gate", [("name", "Xerxion Vantek")]),
-        ("paid new corner bakery 58", []),
-    ],
-)
-def test_items(spark, text, want):
-    _, items = _items(spark, [(1, text)])
-    got = sorted((r["start_pos"], r["kind"], text[r["start_pos"] : r["end_pos"]]) for r in items.collect())
-    assert [(k, s) for _, k, s in got] == want
+ITEMS = [
+    ("mail a.b+c@mail.example about it", [("email", "a.b+c@mail.example")]),
+    ("wrote to joe_x (at) post dot example, no answer", [("email", "joe_x (at) post dot example")]),
+    ("Bought 2 @ 08 each, tagged it @home", []),
+    ("call +44 7700 900 343 or (201) 555-0123 now", [("phone", "+44 7700 900 343"), ("phone", "(201) 555-0123")]),
+    ("plumber 020 7946 0332, 55675-91740, 0491 570 156", [("phone", "020 7946 0332"), ("phone", "55675-91740"), ("phone", "0491 570 156")]),
+    ("passport no Z0090173 and 000-34-3633", [("idnum", "Z0090173"), ("idnum", "000-34-3633")]),
+    ("passport no 4770 0547 0379", [("idnum", "4770 0547 0379")]),
+    ("invoice no 4770 0547 0379, order ref 2025185357, version 3.45.1, 2019-2024", []),
+    ("Pickup from Flat 3B, 209 Brick Kiln Ave, Old Tarvin at ten", [("address", "Flat 3B, 209 Brick Kiln Ave, Old Tarvin")]),
+    ("Walked along Temple Tank Road till 18:30.", []),
+    ("au 34 ter rue des Tilleuls Bleus la semaine", [("address", "34 ter rue des Tilleuls Bleus")]),
+    ("va a C/ Molino Seco 226, 3º B la semana", [("address", "C/ Molino Seco 226, 3º B")]),
+    ("die Adresse Eschenkampstraße 90b gehen", [("address", "Eschenkampstraße 90b")]),
+    ("Gave Mrs. Anbelu Sushtan 5 for tea", [("name", "Anbelu Sushtan")]),
+    ("asked belui to wait", [("name", "belui")]),
+    ("Met Dr. Xerxion Vantek near the gate", [("name", "Xerxion Vantek")]),
+    ("paid new corner bakery 58", []),
+]
+
+
+def test_items(spark):
+    _, items = _items(spark, [(i, text) for i, (text, _) in enumerate(ITEMS)])
+    got = {i: [] for i in range(len(ITEMS))}
+    for r in sorted(items.collect(), key=lambda r: (r["row_id"], r["start_pos"])):
+        got[r["row_id"]].append((r["kind"], ITEMS[r["row_id"]][0][r["start_pos"] : r["end_pos"]]))
+    assert list(got.values()) == [want for _, want in ITEMS]
 
 
 def test_words_that_are_also_names(spark):
@@ -129,17 +130,17 @@ def _links(spark, typed, people, nicks=(("benoric", "benoko"),)):
 PEOPLE = [(1, "benoric tohohorshi"), (2, "selvomi natadvugo"), (3, "selvomi sandekleksu"), (4, "sri masuren traders"), (5, "morviprelil"), (6, "amrisa natadvugo"), (1, "benoric tohohorshi"), (7, None)]
 
 
-@pytest.mark.parametrize(
-    "typed, want",
-    [
-        ("Benoric Tohohorshi", 1), ("tohohorshi, benoric", 1), ("TOHOHORSHI BENORIC", 1), ("benoric_tohohorshi", 1), ("benorictohohorshi", 1), ("Mr. Benoric M. Tohohorshi (office)", 1),
-        ("benoko tohohorshi", 1), ("b. tohohorshi", 1), ("benoric toho.", 1), ("benroic tohohorshi", 1), ("benoric tohohrshii", 1), ("bnoric tohohoshi - neighbour", 1),
-        ("s. natadvugo", 2), ("selvomi natad", 2), ("selvomi", None), ("natadvugo", None), ("selvomi prejohempor", None), ("M/S MASUREN", 4), ("shri masuren trdrs pvt ltd", 4), ("masuren & co", 4),
-        ("morviprelil anna", 5), ("morvipreli", 5), ("self", None), ("", None), ("  ", None), ("🙂", None), ("1234", None),
-    ],
-)
-def test_spellings(spark, typed, want):
-    assert _links(spark, [typed, None, typed], PEOPLE) == {typed: want}
+SPELLINGS = [
+    ("Benoric Tohohorshi", 1), ("tohohorshi, benoric", 1), ("TOHOHORSHI BENORIC", 1), ("benoric_tohohorshi", 1), ("benorictohohorshi", 1), ("Mr. Benoric M. Tohohorshi (office)", 1),
+    ("benoko tohohorshi", 1), ("b. tohohorshi", 1), ("benoric toho.", 1), ("benroic tohohorshi", 1), ("benoric tohohrshii", 1), ("bnoric tohohoshi - neighbour", 1),
+    ("s. natadvugo", 2), ("selvomi natad", 2), ("selvomi", None), ("natadvugo", None), ("selvomi prejohempor", None), ("M/S MASUREN", 4), ("shri masuren trdrs pvt ltd", 4), ("masuren & co", 4),
+    ("morviprelil anna", 5), ("morvipreli", 5), ("self", None), ("", None), ("  ", None), ("🙂", None), ("1234", None),
+]
+
+
+def test_spellings(spark):
+    typed = [t for t, _ in SPELLINGS]
+    assert _links(spark, [*typed, None, typed[0]], PEOPLE) == dict(SPELLINGS)
 
 
 def test_spellings_that_fit_two(spark):
@@ -152,26 +153,27 @@ def test_spellings_that_fit_two(spark):
 # Overlaps -------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    "a, b, same",
-    [
-        ("expense: rs 390 flower bunch, 530 locker rent", "pls add Flower  Bunch ₹390 / locker rent 530 rs !!", True),
-        ("buy: 100 g tea, 2kg rice, For the trip", "shopping: 100g tea + 2 kg rice + for the trip (voice)", True),
-        ("expense: tea 20, milk 30, rice 40", "expense: milk 30, tea 20, rice 40", True),
-        ("expense: tea 20, milk 30, rice 40", "expense: tea 30, milk 20, rice 40", False),
-        ("gave Anbelu Dorthoneksha 20, got 30 back from Velmurin", "gave Anbleu Dorthoneksha 20, got 30 back from Velmurn", True),
-        ("gave Anbelu Dorthoneksha 20, got 30 back from Velmurin", "gave Sohrani Dorthoneksha 20, got 30 back from Velmurin", False),
-        ("tea 20, milk 30, paid on Monday", "tea 20, milk 30, paid on Sunday", False),
-        ("tea 20, milk 30", "tea 20, milk 31", False),
-        ("todo: call the plumber tomorrow", "Todo - call the plumer tomorrow", True),
-        ("todo: call the plumber tomorrow", "todo: call the plumber today", False),
-    ],
-)
-def test_overlaps(spark, a, b, same):
-    h = spark.createDataFrame([("h1", a, "k"), ("h2", None, "k"), ("h3", "", "k"), ("h1", a, "k")], "id string, input string, key string")
-    t = spark.createDataFrame([(1, b, 1), (2, None, 1), (3, "something else 5, and 6", 1), (1, b, 1)], "id long, input string, held_id long")
-    got = [(r["held_id"], r["train_id"]) for r in overlap.find_overlaps(h, t).collect()]
-    assert got == ([("h1", 1)] if same else [])
+RECORDS = [
+    ("expense: rs 390 flower bunch, 530 locker rent", "pls add Flower  Bunch ₹390 / locker rent 530 rs !!", True),
+    ("buy: 100 g tea, 2kg rice, For the trip", "shopping: 100g tea + 2 kg rice + for the trip (voice)", True),
+    ("expense: tea 20, milk 30, rice 40", "expense: milk 30, tea 20, rice 40", True),
+    ("expense: tea 20, milk 30, rice 40", "expense: tea 30, milk 20, rice 40", False),
+    ("gave Anbelu Dorthoneksha 20, got 30 back from Velmurin", "gave Anbleu Dorthoneksha 20, got 30 back from Velmurn", True),
+    ("gave Anbelu Dorthoneksha 20, got 30 back from Velmurin", "gave Sohrani Dorthoneksha 20, got 30 back from Velmurin", False),
+    ("tea 20, milk 30, paid on Monday", "tea 20, milk 30, paid on Sunday", False),
+    ("tea 20, milk 30", "tea 20, milk 31", False),
+    ("todo: call the plumber tomorrow", "Todo - call the plumer tomorrow", True),
+    ("todo: call the plumber tomorrow", "todo: call the plumber today", False),
+]
+
+
+def test_overlaps(spark):
+    h = spark.createDataFrame([(f"h{i}", a, "k") for i, (a, _, _) in enumerate(RECORDS)] + [("n", None, "k"), ("e", "", "k"), ("h0", RECORDS[0][0], "k")], "id string, input string, key string")
+    t = spark.createDataFrame([(i, b, 1) for i, (_, b, _) in enumerate(RECORDS)] + [(100, None, 1), (101, "something else 5, and 6", 1), (0, RECORDS[0][1], 1)], "id long, input string, held_id long")
+    got = {(r["held_id"], r["train_id"]) for r in overlap.find_overlaps(h, t).collect()}
+    for i, (a, b, same) in enumerate(RECORDS):
+        assert ((f"h{i}", i) in got) is same, (a, b)
+    assert {x for x, _ in got} <= {f"h{i}" for i in range(len(RECORDS))} and not {y for _, y in got} & {100, 101}
 
 
 def test_overlaps_edges(spark):
