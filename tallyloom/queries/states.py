@@ -379,7 +379,7 @@ def _(r: Records) -> DataFrame:
 
 @R.add("st3_first_deliveries", "SELECT count(*) AS n_events, count(DISTINCT id) AS n_ids FROM x_events")
 def _(r: Records) -> DataFrame:
-    out = ST.drain(ST.first_deliveries(ST.event_stream(r.spark, r.folder)).select("event_id", "at"), "deliveries", mode="append")
+    out = ST.drain(ST.first_deliveries(ST.event_stream(r.spark, r.folder), late=None).select("event_id", "at"), "deliveries", mode="append")
     return out.agg(N().alias("n_events"), F.count_distinct("event_id").alias("n_ids"))
 
 

@@ -203,3 +203,12 @@ def test_state(spark):
     log = state.rotate(spark.range(10), 8, 3).where("archived").collect()
     assert [r["id"] for r in log] == [0, 1, 2] and state.rotate(spark.range(5), 8, 3).where("archived").count() == 0
     assert evalkit.diff(evalkit.snapshot(uses.limit(1), "u", "id", "v"), evalkit.snapshot(uses, "u", "id", "v")).first()["rows_added"] == 2
+
+
+def test_first_deliveries_of_many_files(spark, data, tmp_path):
+    events = spark.read.parquet(f"{data}/events.parquet")
+    again = events.orderBy("ts").limit(5).withColumn("ts", F.col("ts") + F.expr("INTERVAL 20 DAYS"))
+    events.union(again).repartition(64, F.hash("event_id", "ts")).write.option("maxRecordsPerFile", 20).parquet(str(tmp_path / "events.parquet"))
+    assert len(glob.glob(str(tmp_path / "events.parquet/*.parquet"))) > 48
+    got = entry.queries()["st3_first_deliveries"](spark, str(tmp_path)).first()
+    assert (got["n_events"], got["n_ids"]) == (events.count(), events.count())
