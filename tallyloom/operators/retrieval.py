@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -68,7 +70,7 @@ def blend(lexical: Column, semantic: Column) -> Column:
     return F.when(lexical >= 0.45, 0.78 * lexical + 0.22 * s).when(lexical >= 0.20, 0.65 * lexical + 0.35 * s).otherwise(0.15 * lexical + 0.85 * s)
 
 
-def confident(score: Column, semantic: Column, anchor: bool) -> Column:
+def confident(score: Column, semantic: Column, anchor: bool | Column) -> Column:
     """Any one kind of evidence that is strong enough to answer by."""
     return (
         (F.col("phrase_hit") > 0)
@@ -113,7 +115,210 @@ def vector_search(vectors: DataFrame, query: Column, k: int, domain: str | None
     return rows.orderBy(F.desc("score"), "id").limit(k)
 
 
-def abstain(top: DataFrame, least: float) -> DataFrame:
-    """The hits if the best one reaches ``least``, else none."""
-    best = F.max("score").over(Window.partitionBy(F.lit(1)))  # over the few hits only
+def abstain(top: DataFrame, least: float, *query: str) -> DataFrame:
+    """The hits if the best one reaches ``least``, else none; ``query``: the columns that tell queries apart."""
+    best = F.max("score").over(Window.partitionBy(*(query or [F.lit(1)])))  # over the few hits only
     return top.withColumn("_best", best).where(F.col("_best") >= least).drop("_best")
+
+
+# Many queries --------------------------------------------------------------------------------------------------------
+#
+# Rows and queries are dealt into blocks of about BLOCK. Each pair of blocks is a group that is scored in arrays and gives
+# its best k of each query; of these the best k are kept. Texts are cut up by the expressions above and sums are taken in
+# their order, so that scores and ties are those of the search for one query.
+
+BLOCK = 1000
+_MEMO: dict[tuple[str, ...], dict[str, np.ndarray]] = {}
+_MEMO_BYTES = 64_000_000
+
+
+def _ratios(words: list[str], asked: list[str]) -> np.ndarray:
+    """A row per word with its matching-blocks ratio to each asked word, 0 where the lengths differ by more than four."""
+    from difflib import SequenceMatcher
+
+    match, known, rows = SequenceMatcher(None), _MEMO.setdefault(tuple(asked), {}), np.zeros((len(words), len(asked)))
+    for i, w in enumerate(words):
+        row = known.get(w)
+        if row is None:
+            match.set_seq2(w)
+            row = np.zeros(len(asked))
+            for j, q in enumerate(asked):
+                if abs(len(w) - len(q)) <= 4:
+                    match.set_seq1(q)
+                    row[j] = match.ratio()
+            if sum(len(k) * len(v) for k, v in _MEMO.items()) * 8 > _MEMO_BYTES:
+                _MEMO.clear()
+                known = _MEMO.setdefault(tuple(asked), {})
+            known[w] = row
+        rows[i] = row
+    return rows
+
+
+def _held(sets: list, index: dict[str, int], repeats: bool = False) -> np.ndarray:
+    """A row per set that counts its members by ``index``."""
+    out = np.zeros((len(sets), len(index)), np.float32)
+    for i, members in enumerate(sets):
+        for x in members or ():
+            if (j := index.get(x)) is not None:
+                out[i, j] = out[i, j] + 1 if repeats else 1
+    return out
+
+
+def _sizes(sets: list) -> np.ndarray:
+    return np.array([len(x or ()) for x in sets], float)
+
+
+def _index(sets: list) -> dict[str, int]:
+    return {x: j for j, x in enumerate(sorted({x for members in sets for x in members or ()}))}
+
+
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.divide(part, whole, out=np.zeros(np.broadcast_shapes(part.shape, whole.shape)), where=whole > 0)
+
+
+def _block_lexical(rows: dict[str, list], asks: dict[str, list]) -> dict[str, np.ndarray]:
+    """:func:`lexical_parts` of each query (down) and row (across)."""
+    phrase = np.array([[float(bool(q) and q in t) for t in (x or "" for x in rows["norm"])] for q in asks["norm"]])
+    index, n_asked = _index(asks["words"]), _sizes(asks["words"])[:, None]
+    exact = _share((_held(asks["words"], index, True) @ _held(rows["words"], index).T).astype(float), n_asked)
+    vocabulary = _index(rows["words"])
+    ratios, best = _ratios(list(vocabulary), list(index)), np.zeros((len(index), len(rows["id"])))
+    for i, words in enumerate(rows["words"]):
+        if words:
+            best[:, i] = ratios[[vocabulary[w] for w in set(words)]].max(axis=0)
+    total = np.zeros(phrase.shape)
+    for j, words in enumerate(asks["words"]):
+        s, lost = np.zeros(phrase.shape[1]), np.zeros(phrase.shape[1])
+        for w in words or ():  # as sum() adds floats, with what each step loses
+            x = best[index[w]]
+            t = s + x
+            lost += np.where(s >= x, (s - t) + x, (x - t) + s)
+            s = t
+        total[j] = s + lost
+    pieces = _index(asks["pieces"])
+    both = (_held(asks["pieces"], pieces) @ _held(rows["pieces"], pieces).T).astype(float)
+    fuzzy, trigram = _share(total, n_asked), _share(both, _sizes(asks["pieces"])[:, None] + _sizes(rows["pieces"])[None, :] - both)
+    lexical = np.minimum(1.0, 0.55 * phrase + 0.20 * exact + 0.20 * fuzzy + 0.05 * trigram)
+    return {"phrase_hit": phrase, "exact_recall": exact, "fuzzy_recall": fuzzy, "trigram": trigram, "lexical": lexical}
+
+
+def _block_cosine(vectors: list, asks: list) -> np.ndarray:
+    """:func:`cosine` of each query (down) and vector (across), added up in the same order."""
+    width = max((len(v or ()) for v in [*vectors, *asks]), default=0)
+
+    def padded(vs: list) -> np.ndarray:
+        return np.array([[*(v or ()), *[0.0] * (width - len(v or ()))] for v in vs], float).reshape(len(vs), width)
+
+    a, b = padded(vectors), padded(asks)
+    dots, na, nb = np.zeros((len(b), len(a))), np.zeros(len(a)), np.zeros(len(b))
+    for d in range(width):
+        dots += a[:, d][None, :] * b[:, d][:, None]
+        na += a[:, d] * a[:, d]
+        nb += b[:, d] * b[:, d]
+    n = np.sqrt(na)[None, :] * np.sqrt(nb)[:, None]
+    return np.divide(dots, n, out=np.zeros(dots.shape), where=(n != 0) & (_sizes(vectors)[None, :] == _sizes(asks)[:, None]))
+
+
+def _block_semantic(rows: dict[str, list], asks: dict[str, list], floor: bool = False) -> np.ndarray:
+    """The nearest vector of each row, 0 without one."""
+    out = np.zeros((len(asks["id"]), len(rows["id"])))
+    if has := [i for i, vs in enumerate(rows["vecs"]) if vs]:
+        near = _block_cosine([v for i in has for v in rows["vecs"][i]], asks["vec"])
+        starts = np.cumsum([0, *(len(rows["vecs"][i]) for i in has)])[:-1]
+        out[:, has] = np.maximum.reduceat(near, starts, axis=1)
+    return np.clip(out, 0.0, 1.0) if floor else out
+
+
+def _block_notes(rows: dict[str, list], asks: dict[str, list]) -> dict[str, np.ndarray]:
+    parts = _block_lexical(rows, asks)
+    x, semantic = parts["lexical"], _block_semantic(rows, asks)
+    s = np.maximum(semantic, 0.0)
+    score = np.where(x >= 0.45, 0.78 * x + 0.22 * s, np.where(x >= 0.20, 0.65 * x + 0.35 * s, 0.15 * x + 0.85 * s))
+    return parts | {"semantic": semantic, "score": score}
+
+
+def _block_simple(rows: dict[str, list], asks: dict[str, list]) -> dict[str, np.ndarray]:
+    index = _index(asks["words"])
+    shared = _share((_held(asks["words"], index) @ _held(rows["words"], index).T).astype(float), _sizes(asks["words"])[:, None])
+    contained = np.array([[float(q in t) for t in (x or "" for x in rows["norm"])] for q in (x or "" for x in asks["norm"])])
+    lexical, semantic = 0.6 * contained + 0.4 * shared, _block_semantic(rows, asks, floor=True)
+    return {"lexical": lexical, "semantic": semantic, "score": 0.55 * lexical + 0.45 * semantic}
+
+
+def _block_vectors(rows: dict[str, list], asks: dict[str, list]) -> dict[str, np.ndarray]:
+    from decimal import ROUND_HALF_UP, Decimal
+
+    cos = _block_cosine(rows["vec"], asks["vec"])
+    kept, at = np.unique(cos, return_inverse=True)
+    rounded = [float(Decimal(repr(x)).quantize(Decimal("1e-6"), ROUND_HALF_UP)) for x in kept.tolist()]
+    return {"score": np.array(rounded)[at].reshape(cos.shape)}
+
+
+def _met(rows: DataFrame, asks: DataFrame, score: Callable[[dict, dict], dict[str, np.ndarray]], columns: tuple[str, ...], k: int | None, newest: bool, least: float | None = None) -> DataFrame:
+    """query_id, id and the scores of the best ``k`` rows of each query, of all rows without ``k``. Ties go by the lexical and
+    the semantic score where there are parts, then by id, the newest or the oldest first."""
+    n, m = (max(1, -(-df.count() // BLOCK)) for df in (rows, asks))
+
+    def deal(df: DataFrame, own: str, size: int, other: str, parts: int) -> DataFrame:
+        df = df.toDF(*df.columns)  # columns of its own, for both sides may come from one relation
+        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(size).cast("long"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    by = [c for c in ("score", "lexical", "semantic") if c in columns] if "phrase_hit" in columns else ["score"]
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, asked = left.to_pydict(), right.to_pydict()
+        ids, queries = np.array(own["id"], np.int64), np.array(asked["id"], np.int64)
+        out: dict[str, list[np.ndarray]] = {c: [] for c in ("query_id", "id", *columns)}
+        if len(ids) and len(queries):
+            got = score(own, asked)
+            for j, q in enumerate(queries):
+                x = got["score"][j]
+                take = np.arange(len(ids)) if least is None else np.flatnonzero(x >= least)
+                if k is not None and len(take) > k:
+                    take = take[x[take] >= np.partition(x[take], -k)[-k]]
+                    take = take[np.lexsort([ids[take] * (-1 if newest else 1), *(-got[c][j][take] for c in reversed(by))])[:k]]
+                out["query_id"].append(np.full(len(take), q))
+                out["id"].append(ids[take])
+                for c in columns:
+                    out[c].append(got[c][j][take])
+        return pa.table({c: pa.array(np.concatenate(v) if v else np.array([], float if c in columns else np.int64)) for c, v in out.items()})
+
+    schema = "query_id long, id long, " + ", ".join(f"{c} double" for c in columns)
+    left, right = deal(rows, "_row", n, "_ask", m).groupBy("_row", "_ask"), deal(asks, "_ask", m, "_row", n).groupBy("_row", "_ask")
+    met = left.cogroup(right).applyInArrow(pair, schema)
+    if k is None:
+        return met
+    order = Window.partitionBy("query_id").orderBy(*[F.desc(c) for c in by], F.desc("id") if newest else F.asc("id"))
+    return met.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k).drop("_at")
+
+
+def _with_vectors(notes: DataFrame, vectors: DataFrame) -> DataFrame:
+    known = vectors.where(F.col("note_id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull()))
+    return notes.join(known.groupBy(F.col("note_id").alias("id")).agg(F.collect_list("vec").alias("vecs")), "id", "left")
+
+
+PARTS = ("phrase_hit", "exact_recall", "fuzzy_recall", "trigram", "lexical", "semantic", "score")
+
+
+def note_searches(notes: DataFrame, vectors: DataFrame, queries: DataFrame, encode: Callable[[Column], Column], k: int | None = 5) -> DataFrame:
+    """:func:`note_search` for every row of ``queries`` (id, content); without ``k`` the scores of all notes for each."""
+    cut = lambda text: {"norm": normalise(text), "words": search_words(text), "pieces": trigrams(text)}
+    rows = _with_vectors(notes.select("id", *[c.alias(n) for n, c in cut("content").items()]), vectors)
+    asks = queries.select("id", *[c.alias(n) for n, c in cut("content").items()], encode(F.col("content")).alias("vec"))
+    top = _met(rows, asks, _block_notes, PARTS, k, newest=True)
+    anchor = F.exists(F.split("content", r"(?U)\s+"), lambda w: F.length(w) >= 4)
+    anchors = queries.select(F.col("id").alias("query_id"), F.coalesce(anchor, F.lit(False)).alias("_anchor"))
+    return top.join(anchors, "query_id").withColumn("confident", confident(F.col("score"), F.col("semantic"), F.col("_anchor"))).drop("_anchor")
+
+
+def simple_searches(notes: DataFrame, vectors: DataFrame, queries: DataFrame, encode: Callable[[Column], Column], k: int | None = 10) -> DataFrame:
+    """The best ``k`` by :func:`simple_scores` for every row of ``queries`` (id, content)."""
+    cut = [F.lower("content").alias("norm"), word_set("content").alias("words")]
+    rows, asks = _with_vectors(notes.select("id", *cut), vectors), queries.select("id", *cut, encode(F.col("content")).alias("vec"))
+    return _met(rows, asks, _block_simple, ("lexical", "semantic", "score"), k, newest=True)
+
+
+def vector_searches(vectors: DataFrame, queries: DataFrame, k: int | None, least: float | None = None) -> DataFrame:
+    """:func:`vector_search` for every row of ``queries``; both have id and embedding."""
+    whole = lambda df: df.select("id", F.col("embedding").alias("vec")).where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull()))
+    return _met(whole(vectors), whole(queries), _block_vectors, ("score",), k, newest=False, least=least)

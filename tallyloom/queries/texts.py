@@ -323,6 +323,8 @@ def _(r: Records) -> DataFrame:
 
 QUERY = "renew the gas connection"
 _VEC = lambda r: r.note_vectors.select(F.col("source_note_id").alias("note_id"), F.col("embedding").alias("vec"))
+#: The query set: every row whose id is divisible by 100, against all rows.
+_ASKED = lambda rows: rows.where("id % 100 = 0")
 
 
 @R.add("r1_lexical_parts")
@@ -347,8 +349,8 @@ def _(r: Records) -> DataFrame:
 
 @R.add("r4_r5_search")
 def _(r: Records) -> DataFrame:
-    top = S.note_search(r.notes, _VEC(r), QUERY, X.letter_vector, 5)
-    return top.select("id", F.round("score", 6).alias("score"), F.round("lexical", 6).alias("lexical"), F.round("semantic", 6).alias("semantic"), "confident")
+    top = S.note_searches(r.notes, _VEC(r), _ASKED(r.notes), X.letter_vector, 5)
+    return top.select("query_id", "id", F.round("score", 6).alias("score"), F.round("lexical", 6).alias("lexical"), F.round("semantic", 6).alias("semantic"), "confident")
 
 
 _LETTERS = "[" + ", ".join(f"cast(length(t) - length(replace(t, '{c}', '')) AS DOUBLE)" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
@@ -356,8 +358,8 @@ _LETTERS = "[" + ", ".join(f"cast(length(t) - length(replace(t, '{c}', '')) AS D
 
 @R.add("r6_simple_search")
 def _(r: Records) -> DataFrame:
-    rows = S.simple_scores(r.notes, _VEC(r), QUERY, X.letter_vector).orderBy(F.desc("score"), F.desc("id")).limit(10)
-    return S.abstain(rows, 0.20).select("id", F.round("score", 6).alias("score"))
+    rows = S.simple_searches(r.notes, _VEC(r), _ASKED(r.notes), X.letter_vector, 10)
+    return S.abstain(rows, 0.20, "query_id").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @R.add(
@@ -370,6 +372,16 @@ def _(r: Records) -> DataFrame:
     return S.vector_search(r.note_vectors, X.letter_vector(F.lit(QUERY)), 20, domain="home", least=0.3).select("id", "score")
 
 
+@R.add(
+    "r7_vector_searches",
+    """WITH v AS (SELECT id, list_transform(embedding, lambda x: cast(x AS DOUBLE)) AS e FROM x_vectors), q AS (SELECT id AS query_id, e AS q FROM v WHERE id % 100 = 0),
+    s AS (SELECT query_id, id, round(coalesce(list_inner_product(e, q) / nullif(sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q)), 0), 0), 6) AS score FROM v, q)
+    SELECT query_id, id, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20""",
+)
+def _(r: Records) -> DataFrame:
+    return S.vector_searches(r.note_vectors, _ASKED(r.note_vectors), 20, least=0.3)
+
+
 @R.add("r8_recent_notes", "SELECT id, content FROM x_notes WHERE input_kind = 'note' AND structured_type = 'note' ORDER BY id DESC LIMIT 5")
 def _(r: Records) -> DataFrame:
     return r.notes.where("input_kind = 'note' AND structured_type = 'note'").orderBy(F.desc("id")).limit(5).select("id", "content")

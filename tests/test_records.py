@@ -212,3 +212,31 @@ def test_first_deliveries_of_many_files(spark, data, tmp_path):
     assert len(glob.glob(str(tmp_path / "events.parquet/*.parquet"))) > 48
     got = entry.queries()["st3_first_deliveries"](spark, str(tmp_path)).first()
     assert (got["n_events"], got["n_ids"]) == (events.count(), events.count())
+
+
+def _hits(df, *cols):
+    return [tuple(_plain(r[c]) for c in cols) for r in df.collect()]
+
+
+def test_searches_for_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    texts = ["renew the gas connection soon", "water the plants and renew the gas card", "gas conection", "123", "", "gas conection", "tea, tea and a gas tea", "zz top gas"]
+    notes = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "id long, content string")
+    vecs = notes.select(F.col("id").alias("note_id"), text.letter_vector("content").alias("vec"))
+    vecs = vecs.union(spark.createDataFrame([(1, [1.0] * 26), (2, [1.0] * 5)], "note_id long, vec array<double>"))
+    cols = ("id", *retrieval.PARTS, "confident")
+    many, plain = (f(notes, vecs, notes, text.letter_vector, 3).cache() for f in (retrieval.note_searches, retrieval.simple_searches))
+    for i in (1, 2, 3, 4, 5, 7):
+        mine, order = F.col("query_id") == i, [F.desc("score"), F.desc("lexical"), F.desc("semantic"), F.desc("id")]
+        one = retrieval.note_search(notes, vecs, texts[i - 1], text.letter_vector, 3)
+        assert _hits(many.where(mine).orderBy(*order), *cols) == _hits(one.orderBy(*order), *cols)
+        one = retrieval.simple_scores(notes, vecs, texts[i - 1], text.letter_vector).orderBy(F.desc("score"), F.desc("id")).limit(3)
+        assert _hits(plain.where(mine).orderBy(F.desc("score"), F.desc("id")), "id", "score") == _hits(one, "id", "score")
+
+
+def test_every_hundredth_row_is_searched_for(spark):
+    folder = "/root/testdata/sf0.01"
+    for name, relation, k in (("r4_r5_search", "notes", 5), ("r6_simple_search", "notes", 10), ("r7_vector_searches", "note_vectors", 20)):
+        want = {r[0] for r in spark.read.parquet(f"{folder}/{relation}.parquet").where("id % 100 = 0").select("id").collect()}
+        got = {r[0]: r[1] for r in entry.queries()[name](spark, folder).groupBy("query_id").count().collect()}
+        assert len(want) > 5 and got == dict.fromkeys(want, k)
