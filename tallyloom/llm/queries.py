@@ -17,17 +17,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_links(spark, d).where("person_id IS NOT NULL").select("spelling", "person_id")
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     train = table(spark, d, "parse_write").where("split = 'train'")
-    return overlap.find_overlaps(table(spark, d, "heldout_cases").select("id", "input"), train.select("id", "input"))
+    return table(spark, d, "heldout_cases").select("id", "input"), train.select("id", "input")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d).select(F.col("held_id").alias("heldout_id"), "train_id")
+    return overlap.find_overlaps(*_splits(spark, d)).select(F.col("held_id").alias("heldout_id"), "train_id")
+
+
+def p7_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs that are equal after normalising case, marks and white space."""
+    return overlap.find_overlaps(*_splits(spark, d)).where("exact").select(F.col("held_id").alias("heldout_id"), "train_id")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(_overlaps(spark, d), table(spark, d, "heldout_cases"))
+    return overlap.overlap_report(*_splits(spark, d), table(spark, d, "heldout_cases"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +103,11 @@ def p9_full_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"), times=1.0)[1]
 
 
-QUERIES = {"p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_labels": p5_labels, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_report": p7_report, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixes": p9_mixes, "p9_shares": p9_shares, "p9_full_shares": p9_full_shares, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES = {"p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_labels": p5_labels, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_exact": p7_exact, "p7_report": p7_report, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixes": p9_mixes, "p9_shares": p9_shares, "p9_full_shares": p9_full_shares, "p10_found": p10_found, "p10_report": p10_report}
+
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(input), '[^\p{L}\p{M}\p{N}.,:]+', ' ', 'g'), '[.,:]*( |$)[.,:]*', ' ', 'g'), ' +[.,:]* *', ' ', 'g'))"
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p7_exact": f"""WITH h AS (SELECT DISTINCT id, {_NORM} AS norm FROM heldout_cases WHERE input IS NOT NULL), t AS (SELECT DISTINCT id, {_NORM} AS norm FROM parse_write WHERE split = 'train' AND input IS NOT NULL)
+    SELECT h.id AS heldout_id, t.id AS train_id FROM h JOIN t ON h.norm = t.norm WHERE h.norm <> ''""",
+}

@@ -179,14 +179,48 @@ def test_overlaps(spark):
 def test_overlaps_edges(spark):
     h = spark.createDataFrame([("h1", LONG + "5 6", "k")], "id string, input string, key string")
     t = spark.createDataFrame([(i, LONG + "5 6", 1) for i in range(3)], "id long, input string, held_id long")
-    pairs = overlap.find_overlaps(h, t)
-    assert {r["train_id"] for r in pairs.collect()} == {0, 1, 2}
+    assert {r["train_id"] for r in overlap.find_overlaps(h, t).collect()} == {0, 1, 2}
     held = spark.createDataFrame([("h1", "e", "s"), ("h2", "e", None)], "id string, split string, source string")
-    rep = {r["source"]: r for r in overlap.overlap_report(pairs, held).collect()}
+    rep = {r["source"]: r for r in overlap.overlap_report(h, t, held).collect()}
     assert rep["s"]["share"] == 1.0 and rep["s"]["n_pairs"] == 3 and rep[None]["n_overlapping"] == 0
     assert overlap.find_overlaps(h.limit(0), t.limit(0)).count() == 0
 
 
+SLIPS = [("call plumbr tomorow", "call plumber tomorrow"), ("grocries", "groceries"), ("grocries 500", "groceries 500"), ("tothpaste 40", "tooth paste 40"), ("call plumber mother brothers tomorrow evening", "call plmber mothr brothers tomorrow evening"), ("wintrcoatsx", "wintercoats")]
+
+
+@pytest.mark.parametrize("a,b", SLIPS)
+def test_same_records_share_a_key(a, b):
+    x, y = overlap.canonical(a), overlap.canonical(b)
+    assert overlap.same_record(x, y) and set(overlap.block_keys(x)) & set(overlap.block_keys(y))
+
+
+def test_keys_are_bounded_and_complete():
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmno") for _ in range(n))
+    for n in (1, 2, 3, 20, 300, 5000):
+        assert len(overlap.block_keys(" ".join(word(8) for _ in range(n)))) <= 450
+    assert len(overlap.block_keys("x" * 100_000)) < 300
+    for _ in range(400):
+        w = word(rnd.choice([3, 4, 5, 8, 12, 13, 14, 15, 20, 40]))
+        v = w
+        for _ in range(1 if len(w) < 5 else 2):
+            i = rnd.randrange(len(v))
+            v = rnd.choice([v[:i] + v[i + 1 :], v[:i] + rnd.choice("pqr") + v[i:], v[:i] + "z" + v[i + 1 :], v[:i] + v[i : i + 2][::-1] + v[i + 2 :]])
+        if overlap.same_word(w, v):
+            assert overlap.slip_keys(w) & overlap.slip_keys(v), (w, v)
+
+
+def test_crowded_keys_lose_no_link(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghijklmno") for _ in range(7))
+    texts = [f"paid {word()} {word()} {word()} 40, {word()} 50" for _ in range(60)] + [f"{word()} 40 and 50" for _ in range(10)]
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, input string")
+    h = spark.createDataFrame([(f"h{i}", x.replace("paid ", "pad ") if i % 2 else x[:-4] + "x" + x[-4:]) for i, x in enumerate(texts)], "id string, input string")
+    got = {(r["held_id"], r["train_id"]) for r in overlap.find_overlaps(h, t, crowded=10).collect()}
+    assert got == {(r["held_id"], r["train_id"]) for r in overlap.find_overlaps(h, t).collect()} and len(got) >= 60
+
+
 # Containers -----------------------------------------------------------------------------------------------------------
 
 
