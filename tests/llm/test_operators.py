@@ -33,7 +33,7 @@ ITEMS = [
     ("call +44 7700 900 343 or (201) 555-0123 now", [("phone", "+44 7700 900 343"), ("phone", "(201) 555-0123")]),
     ("plumber 020 7946 0332, 55675-91740, 0491 570 156", [("phone", "020 7946 0332"), ("phone", "55675-91740"), ("phone", "0491 570 156")]),
     ("passport no Z0090173 and 000-34-3633", [("idnum", "Z0090173"), ("idnum", "000-34-3633")]),
-    ("passport no 4770 0547 0379", [("idnum", "4770 0547 0379")]),
+    ("passport no Z0090174 or passport no 4770 0547 0379", [("idnum", "Z0090174"), ("idnum", "4770 0547 0379")]),
     ("invoice no 4770 0547 0379, order ref 2025185357, version 3.45.1, 2019-2024", []),
     ("Pickup from Flat 3B, 209 Brick Kiln Ave, Old Tarvin at ten", [("address", "Flat 3B, 209 Brick Kiln Ave, Old Tarvin")]),
     ("Walked along Temple Tank Road till 18:30.", []),
@@ -63,6 +63,21 @@ def test_words_that_are_also_names(spark):
     assert got == set(range(100, 120))
 
 
+def test_names_outside_the_tables(spark):
+    """Names that no table has are found by the places they share with known ones; words of phrases are not."""
+    known = [f"name{c}o" for c in "abcdefghij"]
+    texts = [(i, f"Asked {k.capitalize()} to wait") for i, k in enumerate(known * 3)] + [(100 + i, f"Met Dr. {k.capitalize()} outside") for i, k in enumerate(known)]
+    texts += [(200 + i, "Asked Zubiria to wait") for i in range(2)] + [(300 + i, f"went on Friday for {k}") for i, k in enumerate(["tea", "milk", "rice"] * 4)]
+    _, items = _items(spark, texts, people=[f"{k} long der surname" for k in known], nicks=())
+    got = {r["row_id"] for r in items.collect() if r["kind"] == "name"}
+    assert got >= set(range(30)) | {200, 201} and not got & set(range(300, 312))
+
+
+def test_long_names_and_contexts(spark):
+    _, items = _items(spark, [(1, "Asked maria to wait"), (2, "passport " + "x" * 90 + " no 4770 0547 0379"), (3, "passport " + "x" * 90 + " no Z0090173")], people=("maria del carmen zubiria",), nicks=())
+    assert {(r["row_id"], r["kind"]) for r in items.collect()} == {(1, "name"), (2, "idnum"), (3, "idnum")}
+
+
 def test_sanitised_text_and_edges(spark):
     texts = [(1, "Mail a@b.example or Anbelu 🙂 at once"), (2, None), (3, ""), (4, LONG + " a@b.example"), (1, "Mail a@b.example or Anbelu 🙂 at once")]
     t, items = _items(spark, texts)
