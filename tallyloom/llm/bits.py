@@ -12,16 +12,19 @@ from tallyloom.operators.orphans import WORD, KeyFilter
 _FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
-def spots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+def spots(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return [((keys.astype(np.uint64) * np.uint64(k)) >> np.uint64(20)) & np.uint64(bits - 1) for k in _FACTORS]
+        return ((keys.astype(np.uint64) * np.uint64(_FACTORS[k])) >> np.uint64(20)) & np.uint64(bits - 1)
 
 
 def held(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys the filter may have been built of; false is proof that it was not."""
-    out = np.ones(len(keys), dtype=bool)
-    for s in spots(keys, len(words) * WORD):
-        out &= ((words[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)
+    out = np.zeros(len(keys), dtype=bool)
+    at = np.arange(len(keys))
+    for k in range(len(_FACTORS)):  # each spot only of the keys that the last one left
+        s = spots(keys[at], len(words) * WORD, k)
+        at = at[((words[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)]
+    out[at] = True
     return out
 
 
@@ -32,7 +35,7 @@ def build(keys: DataFrame, max_bits: int = 1 << 27) -> np.ndarray:
 
     @F.pandas_udf("array<bigint>")
     def own(key: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(spots(key.to_numpy(dtype=np.int64), bits), axis=1).astype(np.int64))) if len(key) else pd.Series([], dtype=object)
+        return pd.Series(list(np.stack([spots(key.to_numpy(dtype=np.int64), bits, k) for k in range(len(_FACTORS))], axis=1).astype(np.int64))) if len(key) else pd.Series([], dtype=object)
 
     got = (
         keys.where(F.col("key").isNotNull())

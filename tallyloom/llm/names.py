@@ -7,10 +7,13 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
+from tallyloom.llm import bits
 from tallyloom.runtime import cut, lookup_join
 
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "smt", "mister", "madam", "master"}
@@ -153,7 +156,8 @@ def link_spellings(spellings: DataFrame, entries: DataFrame, nicknames: DataFram
 
     ``spellings``: spelling; ``entries``: id, name; ``nicknames``: given_name, nickname. Rewritings of both sides are exploded and equi-joined in
     three rounds, each for the spellings that the last left open: exact forms, then forms one and then two
-    letters apart (through left-out letters, verified by edit distance). The price of a link is what its rules
+    letters apart (through left-out letters, verified by edit distance). Forms of under five letters bear no edit, those of under nine
+    one, all others two; an initial or a cut-off surname bears one, for too little of the name is left to bear two. The price of a link is what its rules
     cost plus log2 of the number of entries that share the form, so rare rewritings win. Where two entries
     cost the same the spelling means none.
 
@@ -206,12 +210,19 @@ def link_spellings(spellings: DataFrame, entries: DataFrame, nicknames: DataFram
 
         return pd.Series([one(*v) for v in zip(a, b, mine, theirs)], dtype="float64")
 
-    def keyed(df: DataFrame, col: str, k: int) -> DataFrame:
-        @F.pandas_udf("array<string>")
+    def keyed(df: DataFrame, col: str, k: int, wanted=None) -> DataFrame:
+        """The forms with their keys; of those only what may be among the ``wanted`` ones, by their Bloom filter."""
+
+        @F.pandas_udf("array<bigint>")
         def out(form: pd.Series) -> pd.Series:
-            return form.map(lambda f: sorted(_without(f, min(k, _most_edits(f)))))
+            keys = [np.fromiter((xxh64_intdigest(x.encode(errors="replace")) for x in _without(f, min(k, _most_edits(f)))), dtype=np.uint64).astype(np.int64) for f in form]
+            if wanted is not None and keys:
+                edges = np.cumsum([len(x) for x in keys])[:-1]
+                every = np.concatenate(keys)
+                keys = [x[m] for x, m in zip(keys, np.split(bits.held(wanted.value, every), edges))]
+            return pd.Series(keys, dtype=object)
 
-        return df.withColumn("key", F.explode(out(col))).withColumn("key", F.xxhash64("key"))
+        return df.withColumn("key", F.explode(out(col)))
 
     done, open_ = None, asked
     for k in (0, 1, 2):
@@ -221,8 +232,11 @@ def link_spellings(spellings: DataFrame, entries: DataFrame, nicknames: DataFram
         if k == 0:
             pairs = open_.join(right, open_["asked"] == right["form"])
         else:
-            # Exploded sides are far larger than the planner takes them for, so neither may be broadcast.
-            pairs = keyed(open_, "asked", k).hint("merge").join(keyed(right, "form", k).hint("merge"), "key").drop("key").distinct()
+            # Of the entries' many keys only those that open spellings have are shuffled. Exploded sides are far larger than the
+            # planner takes them for, so neither may be broadcast.
+            typed_keys = cut(keyed(open_, "asked", k))
+            wanted = spellings.sparkSession.sparkContext.broadcast(bits.build(typed_keys.select("key").distinct()))
+            pairs = typed_keys.hint("merge").join(keyed(right, "form", k, wanted).hint("merge"), "key").drop("key").distinct()
         scored = pairs.withColumn("edits", price("asked", "form", "mine", "theirs")).where("edits IS NOT NULL")
         scored = scored.withColumn("total", F.col("own") + F.col("cost") + F.col("edits"))
         per = scored.groupBy("spelling", "id").agg(F.min("total").alias("total"))

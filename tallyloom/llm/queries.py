@@ -90,20 +90,29 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(p8_containers(spark, d))
 
 
+def _mixed(spark: SparkSession, d: str, **size) -> tuple[DataFrame, DataFrame]:
+    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"), **size)
+
+
 def p9_mixes(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    """Mixes as large as their sources together: small sources are clamped at their repeats and the rest is dealt to the others."""
+    return _mixed(spark, d, times=1.0)[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return _mixed(spark, d, times=1.0)[1]
+
+
+def p9_exact_mixes(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mixes in which every source with documents still makes up its whole share."""
+    return _mixed(spark, d)[0]
 
 
-def p9_full_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Shares reached by mixes as large as their sources together, where small sources are clamped."""
-    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"), times=1.0)[1]
+def p9_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
 
 
-QUERIES = {"p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_labels": p5_labels, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_exact": p7_exact, "p7_report": p7_report, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixes": p9_mixes, "p9_shares": p9_shares, "p9_full_shares": p9_full_shares, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES = {"p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_labels": p5_labels, "p6_found": p6_found, "p6_links": p6_links, "p7_found": p7_found, "p7_exact": p7_exact, "p7_report": p7_report, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixes": p9_mixes, "p9_shares": p9_shares, "p9_exact_mixes": p9_exact_mixes, "p9_exact_shares": p9_exact_shares, "p10_found": p10_found, "p10_report": p10_report}
 
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(input), '[^\p{L}\p{M}\p{N}.,:]+', ' ', 'g'), '[.,:]*( |$)[.,:]*', ' ', 'g'), ' +[.,:]* *', ' ', 'g'))"
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.orphans import WORD, KeyFilter
+from tallyloom.llm import bits
 from tallyloom.runtime import cut, lookup_join, once
 
 MARKS = ".!?।॥。"
@@ -30,7 +30,9 @@ PAD = "\0" * 32
 def stripped(text: str) -> str:
     """The text without sign-offs, closing dots and space; a mark glued to the last word stays."""
     while True:
-        m = SIGN_OFF.search(text)
+        text = text.rstrip()
+        # All of these stand in the last line.
+        m = SIGN_OFF.search(text, max(0, text.rfind("\n")))
         if not m or not text:
             return text
         text = text[: m.start()]
@@ -84,14 +86,9 @@ def _keys(stream: str, n: int, h: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(1)).astype(np.int64)
 
 
-def _spots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    with np.errstate(over="ignore"):
-        return [((keys.astype(np.uint64) * np.uint64(k)) >> np.uint64(20)) & np.uint64(bits - 1) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-
-
 def final_keys(bare: str) -> list[int]:
     out = []
-    for stream, lengths, text in (("p", PLAIN, PAD + bare[-40:]), ("h", HIDDEN, PAD + hidden(bare[-120:]))):
+    for stream, lengths, text in (("p", PLAIN, PAD + bare[-40:]), ("h", HIDDEN, PAD + hidden(bare)[-40:])):
         got = hashes(_codes(text))
         out += [int(_keys(stream, n, got[n][-1:])[0]) for n in lengths]
     return out
@@ -99,7 +96,6 @@ def final_keys(bare: str) -> list[int]:
 
 def _tally(text: str, stream: str, lengths: tuple[int, ...], words: np.ndarray, piece: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """How often each wanted context is followed by an end (mark or new line) or goes on; ends of texts say neither."""
-    bits = len(words) * WORD
     for start in range(0, len(text), piece):
         part = text[max(0, start - 32) : start + piece + 2]
         codes = _codes(part)
@@ -113,12 +109,11 @@ def _tally(text: str, stream: str, lengths: tuple[int, ...], words: np.ndarray,
         real = ((codes[:-1] != 0) & (nxt != 0))[keep]
         for n in lengths:
             keys = _keys(stream, n, got[n][:-1][keep])
-            hit = real.copy()
-            for s in _spots(keys, bits):
-                hit &= ((words[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)
-            if hit.any():
-                own, where = np.unique(keys[hit], return_inverse=True)
-                e = ends[keep][hit]
+            at = np.flatnonzero(real)
+            at = at[bits.held(words, keys[at])]
+            if len(at):
+                own, where = np.unique(keys[at], return_inverse=True)
+                e = ends[keep][at]
                 yield pd.DataFrame({"key": own, "ends": np.bincount(where, e, len(own)).astype(np.int64), "seen": np.bincount(where, minlength=len(own)).astype(np.int64)})
 
 
@@ -132,7 +127,9 @@ def end_odds(texts: DataFrame, max_bits: int = 1 << 27) -> DataFrame:
     the end, and the last 16 and 32 with capitalised words hidden, it counts over the whole corpus how often the same
     characters are followed by an end or go on, numbers written alike. The estimates are chained from short to long, the
     shorter one standing in for two observations. Only contexts that end some text are counted: a Bloom filter of their
-    keys, of at most ``max_bits`` bits whatever the corpus, goes to the executors.
+    keys, of at most ``max_bits`` bits whatever the corpus, goes to the executors. Where the keys are more than such a filter tells
+    apart, at ten bits a key, they are dealt to parts by hash and the texts are read once for each part, so what is
+    shuffled stays in proportion to the contexts asked for.
     """
 
     @F.pandas_udf(FINAL)
@@ -151,37 +148,33 @@ def end_odds(texts: DataFrame, max_bits: int = 1 << 27) -> DataFrame:
     rows = texts.where(F.col("text").isNotNull()).select("id", "text", "lang", "source")
     finals = cut(rows.select("id", "lang", "source", F.length("text").alias("length"), final("text").alias("f")).select("id", "lang", "source", "length", "f.*"))
     wanted = finals.select(F.explode("keys").alias("key")).distinct()
-    bits, _ = KeyFilter.plan(wanted.count(), max_bits)
-
-    @F.pandas_udf("array<bigint>")
-    def spots(key: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(_spots(key.to_numpy(dtype=np.int64), bits), axis=1).astype(np.int64))) if len(key) else pd.Series([], dtype=object)
-
-    set_bits = (
-        wanted.select(F.explode(spots("key")).alias("_s"))
-        .groupBy(F.floor(F.col("_s") / WORD).cast("int").alias("w"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_s", F.lit(WORD)).cast("int"))).alias("v"))
-        .toPandas()
-    )
-    words = np.zeros(bits // WORD, dtype=np.int64)
-    words[set_bits["w"].to_numpy(dtype=np.int64)] = set_bits["v"].to_numpy(dtype=np.int64)
-    held = texts.sparkSession.sparkContext.broadcast(words.view(np.uint64))
-
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pile, size = [], 0
-            for i, t in enumerate(batch["text"]):
-                pile.append(plain(t))
-                size += len(t)
-                if size > 1 << 20 or i + 1 == len(batch):
-                    own = PAD + PAD.join(pile) + PAD
-                    yield from _tally(own, "p", PLAIN, held.value)
-                    yield from _tally(PAD + PAD.join(map(hidden, pile)) + PAD, "h", HIDDEN, held.value)
-                    pile, size = [], 0
-
-    counts = rows.select("text").mapInPandas(tally, "key long, ends long, seen long").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
+    parts = max(1, -(-wanted.count() * 10 // max_bits))
+
+    def counts_of(held) -> DataFrame:
+        def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                pile, size = [], 0
+                for i, t in enumerate(batch["text"]):
+                    pile.append(plain(t))
+                    size += len(t)
+                    if size > 1 << 20 or i + 1 == len(batch):
+                        own = PAD + PAD.join(pile) + PAD
+                        yield from _tally(own, "p", PLAIN, held.value)
+                        yield from _tally(PAD + PAD.join(map(hidden, pile)) + PAD, "h", HIDDEN, held.value)
+                        pile, size = [], 0
+
+        return rows.select("text").mapInPandas(tally, "key long, ends long, seen long")
+
+    wanted = cut(wanted) if parts > 1 else wanted
+    every = None
+    for k in range(parts):
+        own = bits.build(wanted.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k), max_bits)
+        one = cut(counts_of(texts.sparkSession.sparkContext.broadcast(own)).groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen")))
+        every = one if every is None else every.unionByName(one)
+    # A key of one part that passes another part's filter by chance is whole in either.
+    counts = every if parts == 1 else every.dropDuplicates(["key"])
     asked = finals.where(F.size("keys") > 0).select("id", "own", F.posexplode("keys").alias("at", "key"))
-    met = lookup_join(asked, cut(counts), "key")
+    met = lookup_join(asked, counts, "key")
     per = met.groupBy("id").agg(F.max("own").alias("own"), F.map_from_entries(F.collect_list(F.struct("at", F.struct("ends", "seen")))).alias("m"))
     index = {("p", n): i for i, n in enumerate(PLAIN)} | {("h", n): len(PLAIN) + i for i, n in enumerate(HIDDEN)}
 

@@ -376,3 +376,15 @@ def test_context_hashes_don_t_depend_on_the_place():
     a = truncation.hashes(truncation._codes("\0" * 40 + "something long enough for all lengths here"))
     b = truncation.hashes(truncation._codes("prefix of another kind that is longer: something long enough for all lengths here"))
     assert all(a[n][-1] == b[n][-1] for n in (4, 8, 16, 32)) and np.unique(b[32]).size > 40
+
+
+def test_filters_in_parts_and_hidden_windows(spark):
+    """Contexts dealt to several filters give the same odds; a long run of capitalised words is hidden before it is cut."""
+    rnd = random.Random(9)
+    words = ["market", "Garden", "lamp", "walked", "Wednesday", "home", "again", "slowly"]
+    texts = [(i, " ".join(rnd.choice(words) for _ in range(12)) + rnd.choice([".", "", " lam"]), "en", "s") for i in range(300)]
+    df = spark.createDataFrame(texts, "id long, text string, lang string, source string")
+    one = {r["id"]: r["odds"] for r in truncation.end_odds(df).collect()}
+    assert one == {r["id"]: r["odds"] for r in truncation.end_odds(df, max_bits=1 << 13).collect()}
+    run = "we met " + "Donaudampfschifffahrtsgesellschaftskapitaen " * 6 + "at the gate"
+    assert truncation.final_keys(run)[-1] == truncation.final_keys("so we met " + "Anna " * 6 + "at the gate")[-1]
