@@ -386,5 +386,5 @@ def test_filters_in_parts_and_hidden_windows(spark):
     df = spark.createDataFrame(texts, "id long, text string, lang string, source string")
     one = {r["id"]: r["odds"] for r in truncation.end_odds(df).collect()}
     assert one == {r["id"]: r["odds"] for r in truncation.end_odds(df, max_bits=1 << 13).collect()}
-    run = "we met " + "Donaudampfschifffahrtsgesellschaftskapitaen " * 6 + "at the gate"
-    assert truncation.final_keys(run)[-1] == truncation.final_keys("so we met " + "Anna " * 6 + "at the gate")[-1]
+    run = "we met " + "Donaudampfschifffahrtsgesellschaftskapitaen " * 12 + "at the gate"
+    assert truncation.final_keys(run)[-1] == truncation.final_keys("so we met " + "Anna " * 12 + "at the gate")[-1]
