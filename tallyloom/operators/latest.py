@@ -24,9 +24,19 @@ def last_k(df: DataFrame, key: Sequence[str], order: Sequence[str], k: int) -> D
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
+def beyond_newest(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
+    """The rows of each key but its ``k`` newest by ``order``, which is unique. The edge of each key comes from the ``k`` greatest of every
+    group of 1,024, so no task sorts a whole key."""
+    deal = Window.partitionBy(key, "_deal").orderBy(F.desc(order))
+    some = df.select(key, order, F.pmod(F.xxhash64(order), F.lit(1024)).alias("_deal")).withColumn("_rn", F.row_number().over(deal)).where(F.col("_rn") <= k)
+    top = last_k(some, [key], [order], k)
+    edges = top.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_edge"))
+    return df.join(edges, F.col(key).eqNullSafe(F.col("_key"))).where(F.col(order) < F.col("_edge")).drop("_key", "_edge")
+
+
 def latest_with_ties(df: DataFrame, key: Sequence[str], day: str) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(F.col(day).desc_nulls_last())
-    return df.withColumn("rk", F.rank().over(w)).where("rk = 1").drop("rk")
+    newest = df.groupBy(*key).agg(F.max(day).alias("_newest"))
+    return df.join(newest, list(key)).where(F.col(day).eqNullSafe(F.col("_newest"))).drop("_newest")
 
 
 def change(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, k: int) -> DataFrame:

@@ -21,7 +21,7 @@ R = Registry()
 N = lambda: F.count(F.lit(1))
 AS_OF = "2026-05-31"
 
-# State ---------------------------------------------------------------------------------------------------------------
+# State
 
 
 @R.add("t1_written_rows", "SELECT id // 100 AS capture_id, lane AS relation, id % 100 AS pos, coalesce(description, item_text, text, person_text) AS what, coalesce(amount, value) AS amount, date FROM x_lanes WHERE id // 100 IN (SELECT id FROM x_writes WHERE output.disposition = 'accept')")
@@ -152,7 +152,7 @@ def _(r: Records) -> DataFrame:
     return D.settle(entries).select("id", "amount", "direction", "balance")
 
 
-# Evaluation ----------------------------------------------------------------------------------------------------------
+# Evaluation
 
 
 def _scored(r: Records) -> DataFrame:
@@ -221,7 +221,7 @@ def _(r: Records) -> DataFrame:
     return ranked.groupBy("id").agg(F.sum("ms").alias("total_ms"), F.array_join(F.transform(top, lambda s: s["t"]), " ").alias("slowest"))
 
 
-# Dataset building ----------------------------------------------------------------------------------------------------
+# Dataset building
 
 _U = "(cast('0x' || substr(md5('{seed}:' || {col}), 1, 13) AS BIGINT) / 4503599627370496.0)"
 
@@ -301,7 +301,7 @@ def _(r: Records) -> DataFrame:
     return groups.select(F.explode(F.transform(F.array(*[F.lit(x) for x in domains]), lambda x: F.concat("group_key", F.lit(" for "), x))).alias("label")).distinct()
 
 
-# Files and texts -----------------------------------------------------------------------------------------------------
+# Files and texts
 
 
 @R.add("s4_s5_jsonl", "SELECT id, input, split FROM x_writes")
@@ -343,7 +343,7 @@ def _(r: Records) -> DataFrame:
     return L.padded(r.persons.select("id", "name"), ("id", "name")).select("id", "line")
 
 
-# Guarded SQL ---------------------------------------------------------------------------------------------------------
+# Guarded SQL
 
 
 @R.add("g_guarded_sql", "SELECT group_key, cast(sum(cast(amount AS DECIMAL(30,4))) AS DOUBLE) AS total FROM x_expenses WHERE event_day >= '2025-06-01' GROUP BY group_key ORDER BY total DESC LIMIT 100")
@@ -359,7 +359,7 @@ def _(r: Records) -> DataFrame:
     return r.spark.createDataFrame(verdicts, "statement string, ok boolean, reason string")
 
 
-# Streams -------------------------------------------------------------------------------------------------------------
+# Streams
 
 _DAY = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 

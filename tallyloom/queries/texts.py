@@ -17,7 +17,7 @@ R = Registry()
 N = lambda: F.count(F.lit(1))
 AS_OF = "2026-05-31"
 
-# Texts ---------------------------------------------------------------------------------------------------------------
+# Texts
 
 
 @R.add("x1_normalised", r"SELECT id, trim(regexp_replace(lower(input_text), '\s+', ' ', 'g')) AS norm FROM x_activity")
@@ -104,7 +104,7 @@ def _(r: Records) -> DataFrame:
     return r.writes.select("id", E.noisy(F.col("input"), F.col("id"), 11).alias("noisy"))
 
 
-# Numbers -------------------------------------------------------------------------------------------------------------
+# Numbers
 
 _AMT = r"regexp_replace(regexp_replace(lower(trim(quantity)), '^(?:rs\.?|inr|₹|\$|€)\s*', ''), '\s*(?:rs\.?|rupees|/-|₹|€|\$)$', '')"
 
@@ -162,7 +162,7 @@ def _(r: Records) -> DataFrame:
     return r.expenses.select("id", X.clamp(F.col("amount"), 0.0, 1000.0).alias("amount"))
 
 
-# Days ----------------------------------------------------------------------------------------------------------------
+# Days
 
 _A = "cast(anchor_date AS DATE)"
 _OUT = lambda *names: [F.date_format(n, "yyyy-MM-dd").alias(n) for n in names]
@@ -252,7 +252,7 @@ def _(r: Records) -> DataFrame:
     return r.weights.groupBy("person").agg(F.date_diff(F.lit(AS_OF).cast("date"), F.max("event_day").cast("date")).cast("long").alias("days"))
 
 
-# Nested values -------------------------------------------------------------------------------------------------------
+# Nested values
 
 
 @R.add("m1_expense_records", "SELECT id, amount, description, date FROM x_lanes WHERE lane = 'expense'")
@@ -319,17 +319,17 @@ def _(r: Records) -> DataFrame:
     return r.writes.select("id", F.col("output.lane").alias("lane"), P.validate(F.col("output")).alias("error"))
 
 
-# Retrieval -----------------------------------------------------------------------------------------------------------
+# Retrieval
 
 QUERY = "renew the gas connection"
-_VEC = lambda r: r.note_vectors.select(F.col("source_note_id").alias("note_id"), F.col("embedding").alias("vec"))
+_VEC = lambda r: r.of("note_vectors", "id", "source_note_id", "embedding").select(F.col("source_note_id").alias("note_id"), F.col("embedding").alias("vec"))
 #: The query set: every row whose id is divisible by 100, against all rows.
 _ASKED = lambda rows: rows.where("id % 100 = 0")
 
 
 @R.add("r1_lexical_parts")
 def _(r: Records) -> DataFrame:
-    parts = S.lexical_parts(r.notes.select("id", "content"), QUERY)
+    parts = S.lexical_parts(r.of("notes", "id", "content"), QUERY)
     return parts.select("id", "phrase_hit", F.round("exact_recall", 6).alias("exact_recall"), F.round("fuzzy_recall", 6).alias("fuzzy_recall"), F.round("trigram", 6).alias("trigram"), F.round("lexical", 6).alias("lexical"))
 
 
@@ -340,7 +340,7 @@ def _(r: Records) -> DataFrame:
 
 @R.add("r3_blended")
 def _(r: Records) -> DataFrame:
-    parts = S.lexical_parts(r.notes.select("id", "content"), QUERY)
+    parts = S.lexical_parts(r.of("notes", "id", "content"), QUERY)
     vec = S.constant(r.notes, X.letter_vector(F.lit(QUERY)))
     near = _VEC(r).select(F.col("note_id").alias("id"), X.cosine(F.col("vec"), vec).alias("c")).groupBy("id").agg(F.max("c").alias("semantic"))
     j = parts.join(near, "id", "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
@@ -389,7 +389,7 @@ def _(r: Records) -> DataFrame:
 
 @R.add("r9_notes_with_several_vectors", "SELECT source_note_id AS id, count(*) AS n_vectors FROM x_vectors WHERE source_note_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def _(r: Records) -> DataFrame:
-    return r.note_vectors.where("source_note_id IS NOT NULL").groupBy(F.col("source_note_id").alias("id")).agg(N().alias("n_vectors")).where("n_vectors > 1")
+    return r.of("note_vectors", "id", "source_note_id").where("source_note_id IS NOT NULL").groupBy(F.col("source_note_id").alias("id")).agg(N().alias("n_vectors")).where("n_vectors > 1")
 
 
 @R.add(
@@ -398,12 +398,12 @@ def _(r: Records) -> DataFrame:
     SELECT id, round(v[1] / nullif(n, 0), 6) AS a, round(v[5] / nullif(n, 0), 6) AS e FROM n WHERE id NOT IN (SELECT source_note_id FROM x_vectors WHERE source_note_id IS NOT NULL)""",
 )
 def _(r: Records) -> DataFrame:
-    lacking = r.notes.select("id", "content").join(r.note_vectors.select(F.col("source_note_id").alias("id")), "id", "left_anti")
+    lacking = r.of("notes", "id", "content").join(r.repeated("note_vectors", "source_note_id").toDF("id"), "id", "left_anti")
     v = lacking.select("id", X.letter_vector("content").alias("v"))
     return v.select("id", F.round(F.col("v")[0], 6).alias("a"), F.round(F.col("v")[4], 6).alias("e"))
 
 
-# Extraction ----------------------------------------------------------------------------------------------------------
+# Extraction
 
 
 @R.add("e1_e5_records")
