@@ -16,8 +16,9 @@ class SpikeRules:
     """Parameters of :func:`implausible`.
 
     ``risk``: chance a true reading may exceed its source's tail cutoff; ``tail``: share of the readings that
-    make up the tail; ``side``: readings on either side that make the local level; ``prior``: weight of the
-    pooled tail, in exceedances; ``stuck_risk``: expected number of true runs as long as a stuck one;
+    make up the tail; ``side``: readings on either side that make the local level; ``prior`` and ``shape_prior``: weight of the
+    pooled tail's size and shape, in exceedances; ``month_prior``: weight of the pooled season, in readings of the month; ``gross``: residuals beyond
+    so many scatters are no part of a tail to fit; ``shapes``: bounds of the tail's shape; ``stuck_risk``: expected number of true runs as long as a stuck one;
     ``low`` and ``high``: what no living person weighs, in kilograms.
     """
 
@@ -25,6 +26,10 @@ class SpikeRules:
     tail: float = 0.2
     side: int = 5
     prior: float = 20.0
+    shape_prior: float = 200.0
+    month_prior: float = 200.0
+    gross: float = 5.0
+    shapes: tuple[float, float] = (-0.05, 0.15)
     stuck_risk: float = 0.02
     stuck_least: int = 7
     low: float = 0.2
@@ -44,7 +49,7 @@ def _numbered(rows: DataFrame, p: SpikeRules) -> DataFrame:
     starts = sizes.select("source", "_span", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("source", "_span").orderBy("_day", "reading_id"))
     placed = span.withColumn("_in", inside).join(starts, ["source", "_span"])
-    return placed.select("source", "reading_id", "value", (F.col("_start") + F.col("_in") - 1).alias("_n"))
+    return placed.select("source", "reading_id", "value", F.month("_day").alias("_month"), (F.col("_start") + F.col("_in") - 1).alias("_n"))
 
 
 def _blocks(numbered: DataFrame, p: SpikeRules) -> DataFrame:
@@ -60,11 +65,10 @@ def _median(values: Column) -> Column:
     return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
 
 
-def _tail_cut(u: Column, scale: Column, shape: float, share: float, risk: float) -> Column:
+def _tail_cut(u: Column, scale: Column, shape: Column, share: float, risk: float) -> Column:
     """Generalised Pareto cutoff that a true reading exceeds with probability ``risk``."""
-    m = share / risk
-    grow = F.lit((m**shape - 1) / shape) if abs(shape) > 1e-6 else F.log(F.lit(m))
-    return u + scale * grow
+    m = F.lit(share / risk)
+    return u + scale * F.when(F.abs(shape) > 1e-6, (F.pow(m, shape) - 1) / shape).otherwise(F.log(m))
 
 
 def implausible(readings: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
@@ -74,11 +78,12 @@ def implausible(readings: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFr
 
     * The residual of a reading is its distance from the local level on *both* sides, the smaller one, zero
       where the sides disagree in sign; so growth and lasting changes of level leave none, and a spike must
-      return. The local level follows the seasons; the calendar month's pooled median residual is taken off too.
+      return. The local level follows the seasons; the source's usual residual of the calendar month, shrunk to that of all sources,
+      is taken off too.
     * Residuals are measured in the source's own scatter (median step, but at least its scale's step).
     * A generalised Pareto tail is fitted over the threshold that leaves ``tail`` of the residuals: the
-      shape by probability-weighted moments over all sources, the size per source from its mean excess,
-      shrunk to the pooled one. Gross outliers are kept out of the fit. The cutoff sits at ``risk``.
+      shape by probability-weighted moments over all sources, that of a source by its own moments shrunk to it, the
+      size per source from its mean excess, shrunk to the pooled one. Gross outliers are kept out of the fit. The cutoff sits at ``risk``.
     * Stuck: a run of one value of at least ``stuck_least`` readings is flagged if the source's usual rate of repeats (its
       longest run left out) makes less than ``stuck_risk`` such runs likely and it is twice as long as any other
       of the source, or if they are twenty times less likely still.
@@ -93,7 +98,6 @@ def implausible(readings: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFr
     )
     odd = F.isnan("value") | (F.col("value") <= p.low) | (F.col("value") >= p.high)
     gross = rows.where(odd).select("source", "reading_id", "value", F.lit("impossible").alias("reason"))
-    month = rows.select("reading_id", F.month("_day").alias("_month"))
     numbered = _numbered(rows.where(~F.isnan("value")), p)
 
     order = Window.partitionBy("source", "_block").orderBy("_n")
@@ -116,7 +120,7 @@ def implausible(readings: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFr
         .withColumn("_step", F.abs(F.col("value") - F.col("_prev")))
         .withColumn("_new", starts_run)
         .withColumn("_runs", F.sum("_new").over(within))
-        .select("source", "reading_id", "value", "_block", "_dev", "_step", "_new", "_runs")
+        .select("source", "reading_id", "value", "_month", "_block", "_dev", "_step", "_new", "_runs")
     )
 
     # Per source: scatter and the step of its scale.
@@ -140,11 +144,14 @@ def implausible(readings: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFr
     )
     placed = local.join(blocks, ["source", "_block"]).withColumn("_run", F.col("_offset") + F.col("_runs"))
 
-    seasonal = placed.join(month, "reading_id").withColumn("_z", F.col("_dev") / F.col("_scatter"))
-    of_month = seasonal.groupBy("_month").agg(F.percentile_approx("_z", 0.5, 1000).alias("_usual"))  # at most 12 rows
+    seasonal = placed.withColumn("_z", F.col("_dev") / F.col("_scatter"))
+    pooled = seasonal.groupBy("_month").agg(F.percentile_approx("_z", 0.5, 1000).alias("_pooled"))  # at most 12 rows
+    of_month = seasonal.groupBy("source", "_month").agg(F.percentile_approx("_z", 0.5, 1000).alias("_own"), F.count(F.lit(1)).alias("_of_month"))
+    usual = (F.col("_of_month") * F.col("_own") + p.month_prior * F.col("_pooled")) / (F.col("_of_month") + p.month_prior)
+    season = of_month.join(F.broadcast(pooled), "_month").groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("_month", usual))).alias("_season"))
     resid = cut(
-        seasonal.join(F.broadcast(of_month), "_month")
-        .withColumn("_r", F.abs(F.col("_z") - F.col("_usual")))
+        seasonal.join(season, "source")
+        .withColumn("_r", F.abs(F.col("_z") - F.col("_season")[F.col("_month")]))
         .select("source", "_block", "reading_id", "value", "_r", "_scatter", "_count")
     )
     cutoffs = _cutoffs(resid, p)
@@ -175,8 +182,9 @@ def implausible(readings: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFr
 
 def _cutoffs(resid: DataFrame, p: SpikeRules) -> DataFrame:
     """Per source the tail cutoff of its scaled residuals, from a generalised Pareto fit."""
-    sane = resid.where(F.col("_r") < 5.0)
-    u = sane.agg(F.percentile_approx("_r", 1 - p.tail, 10000)).first()[0] or 1.0
+    sane = resid.where(F.col("_r") < p.gross)
+    u = sane.agg(F.percentile_approx("_r", 1 - p.tail, 10000)).first()[0]
+    u = 1.0 if u is None else u  # no residuals at all
     excess = sane.where(F.col("_r") > u).withColumn("_x", F.col("_r") - u)
     # Probability-weighted moments of the pooled excesses, from a histogram of fixed size.
     bins = excess.groupBy(F.floor(F.col("_x") * 100).alias("_bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("s")).collect()
@@ -190,11 +198,16 @@ def _cutoffs(resid: DataFrame, p: SpikeRules) -> DataFrame:
             seen += b["n"]
         w1 /= n
         if mean - 2 * w1 > 1e-9:
-            shape = min(0.15, max(-0.05, 2 - mean / (mean - 2 * w1)))
-    own = excess.groupBy("source").agg(F.count(F.lit(1)).alias("_k"), F.sum("_x").alias("_s"))
-    scale = (1 - shape) * (F.coalesce("_s", F.lit(0.0)) + p.prior * mean) / (F.coalesce("_k", F.lit(0)) + p.prior)
+            shape = min(p.shapes[1], max(p.shapes[0], 2 - mean / (mean - 2 * w1)))
+    own = excess.groupBy("source").agg(F.count(F.lit(1)).alias("_k"), F.sum("_x").alias("_s"), F.var_pop("_x").alias("_v"))
+    k, total = F.coalesce("_k", F.lit(0)), F.coalesce("_s", F.lit(0.0))
+    # A tail's shape by its own moments, which cutting off gross outliers and few exceedances make unsure.
+    by_moments = F.when((F.col("_k") > 2) & (F.col("_v") > 0), (1 - F.pow(total / k, F.lit(2)) / F.col("_v")) / 2)
+    bounded = F.least(F.lit(p.shapes[1]), F.greatest(F.lit(p.shapes[0]), F.coalesce(by_moments, F.lit(shape))))
+    of_source = (k * bounded + p.shape_prior * shape) / (k + p.shape_prior)
+    scale = (1 - of_source) * (total + p.prior * mean) / (k + p.prior)
     every = resid.select("source").distinct().join(own, "source", "left")
-    return every.select("source", _tail_cut(F.lit(float(u)), scale, shape, p.tail, p.risk).alias("_cutoff"))
+    return every.select("source", _tail_cut(F.lit(float(u)), scale, of_source, p.tail, p.risk).alias("_cutoff"))
 
 
 def weight_readings(weights: DataFrame) -> DataFrame:
