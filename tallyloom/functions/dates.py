@@ -50,8 +50,9 @@ def fiscal_year_start(d: Column, shift: int = 0) -> Column:
     return F.make_date(y, F.lit(4), F.lit(1))
 
 
-def phrases(d: Column) -> list[tuple[str, Column, Column]]:
-    """(phrase, first day, last day) of each known phrase, both inclusive."""
+def phrases(d: Column, months: str = "recent") -> list[tuple[str, Column, Column]]:
+    """(phrase, first day, last day) of each known phrase, both inclusive. A bare month is its latest one that doesn't begin after the
+    day (``recent``) or that of the day's own year (``own``)."""
     one = lambda p, day: (p, day, day)
     out = [one("today", d), one("yesterday", F.date_sub(d, 1)), one("day before yesterday", F.date_sub(d, 2)), one("tomorrow", F.date_add(d, 1))]
     w = week_start(d)
@@ -64,8 +65,6 @@ def phrases(d: Column) -> list[tuple[str, Column, Column]]:
         out.append((f"{p} year", y, F.date_sub(F.add_months(y, 12), 1)))
     out.append(("business week", w, F.date_add(w, 4)))
     out.append(("last fortnight", F.date_sub(d, 13), d))
-    for n in (7, 14, 30, 90):
-        out.append((f"last {n} days", F.date_sub(d, n - 1), d))
     out += [("month to date", month_start(d), d), ("quarter to date", quarter_start(d), d), ("year to date", F.trunc(d, "YEAR").cast("date"), d)]
     q, lq, fy = quarter_start(d), quarter_start(d, -1), fiscal_year_start(d)
     out += [("this quarter", q, F.date_sub(F.add_months(q, 3), 1)), ("last quarter", lq, F.date_sub(q, 1))]
@@ -78,17 +77,30 @@ def phrases(d: Column) -> list[tuple[str, Column, Column]]:
     for i, name in enumerate(WEEKDAYS):
         out += [one(f"next {name}", next_weekday(d, i)), one(f"last {name}", last_weekday(d, i)), one(f"this {name}", this_weekday(d, i))]
     for i, name in enumerate(MONTHS, 1):
-        s = recent_month(d, i)
+        s = recent_month(d, i) if months == "recent" else F.make_date(F.year(d), F.lit(i), F.lit(1))
         out.append((name, s, F.last_day(s)))
-    for n, word in enumerate(("two", "three", "four", "five", "six", "seven"), 2):
-        out += [one(f"{n} days ago", F.date_sub(d, n)), one(f"{word} days ago", F.date_sub(d, n))]
     return out
 
 
-def phrase_dimension(anchors: DataFrame, anchor: str) -> DataFrame:
+#: Numbers in words before "days". Fixed values.
+NUMBERS = ("one", "two", "three", "four", "five", "six", "seven")
+_SOME = r"(?:\d{1,4}|" + "|".join(NUMBERS) + ")"
+#: Phrases with a number of days, which need no row of the dimension.
+COUNTED = (rf"last {_SOME} days", rf"past {_SOME} days", rf"{_SOME} days? ago")
+
+
+def counted_days(phrase: Column, d: Column) -> tuple[Column, Column]:
+    """First and last day of a phrase with any number of days; null for other phrases."""
+    word = F.regexp_extract(phrase, rf"({_SOME}) day", 1)
+    n = F.coalesce(word.try_cast("int"), F.nullif(F.array_position(F.array(*map(F.lit, NUMBERS)), word), F.lit(0)).cast("int"))
+    ago = F.endswith(phrase, F.lit("ago"))
+    return F.when(ago, F.date_sub(d, n)).otherwise(F.date_sub(d, n - 1)), F.when(n.isNotNull(), F.when(ago, F.date_sub(d, n)).otherwise(d))
+
+
+def phrase_dimension(anchors: DataFrame, anchor: str, months: str = "recent") -> DataFrame:
     """anchor, phrase, start_day, end_day for every distinct anchor: one row per phrase, ready to be joined."""
     d = F.col("anchor")
-    rows = F.array(*[F.struct(F.lit(p).alias("phrase"), s.alias("start_day"), e.alias("end_day")) for p, s, e in phrases(d)])
+    rows = F.array(*[F.struct(F.lit(p).alias("phrase"), s.alias("start_day"), e.alias("end_day")) for p, s, e in phrases(d, months)])
     days = anchors.select(F.try_to_date(F.substring(anchor, 1, 10), "yyyy-MM-dd").alias("anchor")).where("anchor IS NOT NULL").distinct()
     return days.select("anchor", F.explode(rows).alias("r")).select("anchor", "r.*")
 
@@ -99,25 +111,26 @@ def phrase_names() -> list[str]:
     fixed = ["today", "yesterday", "day before yesterday", "tomorrow", "business week", "last fortnight", "month to date", "quarter to date", "year to date"]
     fixed += ["this quarter", "last quarter", "this fiscal year", "last fiscal year", "first half of the month", "second half of the month"]
     fixed += [f"{p} {w}" for p in ("last", "this", "next") for w in ("week", "weekend", "month", "year", *WEEKDAYS)]
-    fixed += [f"last {n} days" for n in (7, 14, 30, 90)] + [f"{n} week of the month" for n in ("first", "second", "third", "fourth")]
-    fixed += [f"{n} days ago" for n in (2, 3, 4, 5, 6, 7, "two", "three", "four", "five", "six", "seven")]
+    fixed += [f"{n} week of the month" for n in ("first", "second", "third", "fourth")]
     return sorted([*fixed, *months], key=lambda p: (-len(p), p))
 
 
-def find_phrases(df: DataFrame, text: str, anchor: str) -> DataFrame:
+def find_phrases(df: DataFrame, text: str, anchor: str, months: str = "recent") -> DataFrame:
     """Rows whose text has a known phrase, with phrase, start_day, end_day and the text without it (residual).
 
-    Of several phrases the first in the text counts, of those that start together the longest. The days come from the
-    phrase dimension, joined on anchor and phrase; rows without a phrase or a day to anchor it on are left out.
+    Of several phrases the first in the text counts, of those that start together the longest; what is cut out is that match.
+    Phrases with a number of days are worked out, the days of others come from the phrase dimension, joined on anchor and phrase;
+    rows without a phrase or a day to anchor it on are left out.
     """
     t = F.lower(F.col(text))
-    pattern = r"(?<![a-z0-9])(" + "|".join(phrase_names()) + r")(?![a-z0-9])"
-    rows = df.withColumn("phrase", F.regexp_extract(t, pattern, 1)).where("phrase != ''")
-    rows = rows.withColumn("anchor", F.try_to_date(F.substring(anchor, 1, 10), "yyyy-MM-dd"))
-    dim = phrase_dimension(rows.select("anchor"), "anchor")
-    out = rows.join(dim, ["anchor", "phrase"])
-    rest = F.expr(f"concat(substr(lower({text}), 1, instr(lower({text}), phrase) - 1), substr(lower({text}), instr(lower({text}), phrase) + length(phrase)))")
-    return out.withColumn("residual", F.trim(F.regexp_replace(rest, r"\s+", " ")))
+    pattern = r"(?s)^(.*?)(?<![a-z0-9])(" + "|".join([*COUNTED, *phrase_names()]) + r")(?![a-z0-9])(.*)$"
+    part = lambda i: F.regexp_extract(t, pattern, i)
+    rows = df.withColumn("phrase", part(2)).where("phrase != ''").withColumn("residual", F.trim(F.regexp_replace(F.concat(part(1), part(3)), r"\s+", " ")))
+    rows = rows.withColumn("anchor", F.try_to_date(F.substring(anchor, 1, 10), "yyyy-MM-dd")).where("anchor IS NOT NULL")
+    dim = phrase_dimension(rows.select("anchor"), "anchor", months).withColumnsRenamed({"start_day": "_s", "end_day": "_e"})
+    start, end = counted_days(F.col("phrase"), F.col("anchor"))
+    out = rows.join(dim, ["anchor", "phrase"], "left").withColumn("start_day", F.coalesce("_s", start)).withColumn("end_day", F.coalesce("_e", end))
+    return out.drop("_s", "_e")
 
 
 def absolute_day(text: str | Column, anchor: Column) -> Column:

@@ -7,8 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning in a search.
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "what", "when", "where", "did", "was", "about", "from", "show", "have", "has", "note", "notes", "tell")
+#: Words that carry no meaning in a search. Fixed values.
+STOP_WORDS = (
+    "a", "about", "all", "and", "any", "did", "do", "ever", "find", "for", "from", "i", "in", "info", "last", "latest", "mention", "mentions", "mentioned", "most", "my",
+    "note", "notes", "of", "on", "our", "recent", "recently", "save", "saved", "search", "show", "that", "the", "what", "which",
+)
 
 
 def _c(col: str | Column) -> Column:

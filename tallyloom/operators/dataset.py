@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def uniform(seed: int, *cols: str | Column) -> Column:
@@ -71,20 +72,33 @@ def allocate(weights: Sequence[float], total: int, least: int = 1) -> list[int]:
     return [floor + x for x in out]
 
 
-def canonical_key(col: str | Column) -> Column:
-    """Identity of a nested value: a digest of its JSON with nulls kept."""
-    return F.sha2(F.to_json(F.struct(F.col(col) if isinstance(col, str) else col), {"ignoreNullFields": "false"}), 256)
+def in_order(col: Column, kind: T.DataType) -> Column:
+    """The value with the fields of its structs, however deep, in alphabetical order."""
+    if isinstance(kind, T.StructType):
+        made = F.struct(*[in_order(col[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(col.isNotNull(), made)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        return F.transform(col, lambda x: in_order(x, kind.elementType))
+    return col
 
 
-def unique_sample(df: DataFrame, key: str | Column, n: int, seed: int, id_col: str = "id") -> DataFrame:
+def canonical_key(df: DataFrame, col: str) -> Column:
+    """Identity of a nested value: a digest of its JSON with keys in alphabetical order and nulls kept; of plain values of their text."""
+    kind = df.schema[col].dataType
+    plain = not isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+    value = F.col(col).cast("string") if plain else F.to_json(in_order(F.col(col), kind), {"ignoreNullFields": "false"})
+    return F.sha2(value, 256)
+
+
+def unique_sample(df: DataFrame, key: str, n: int, seed: int, id_col: str = "id") -> DataFrame:
     """``n`` rows with different keys in a seeded order; all of them if there are fewer."""
-    rows = df.withColumn("_key", canonical_key(key))
+    rows = df.withColumn("_key", canonical_key(df, key))
     one = rows.groupBy("_key").agg(F.min(F.struct(id_col, *[c for c in df.columns if c != id_col])).alias("_r")).select("_key", "_r.*")
     return one.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "_key"))).limit(n).drop("_key")
 
 
-def held_out(candidates: DataFrame, train: DataFrame, key: str | Column, n: int, seed: int, id_col: str = "id") -> DataFrame:
+def held_out(candidates: DataFrame, train: DataFrame, key: str, n: int, seed: int, id_col: str = "id") -> DataFrame:
     """``n`` candidates whose content isn't in ``train``; only where these run out, marked ones that are."""
-    known = train.select(canonical_key(key).alias("_key")).distinct().withColumn("_known", F.lit(True))
-    rows = candidates.withColumn("_key", canonical_key(key)).join(known, "_key", "left").withColumn("overlaps", F.coalesce("_known", F.lit(False)))
+    known = train.select(canonical_key(train, key).alias("_key")).distinct().withColumn("_known", F.lit(True))
+    rows = candidates.withColumn("_key", canonical_key(candidates, key)).join(known, "_key", "left").withColumn("overlaps", F.coalesce("_known", F.lit(False)))
     return rows.orderBy("overlaps", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))).limit(n).drop("_key", "_known")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 def latency_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Count, extremes, mean and interpolated percentiles of the non-null values."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("q")
+    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95), F.lit(0.99))).alias("q")
     out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.round(F.avg(value), 6).alias("mean"), q, F.max(value).alias("most"))
-    return out.select(*by, "n", "least", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p99"), "most")
+    return out.select(*by, "n", "least", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p95"), F.col("q")[3].alias("p99"), "most")
 
 
 def frequencies(df: DataFrame, col: str, none: str = "<none>") -> DataFrame:

@@ -13,7 +13,6 @@ from tallyloom.functions import dates as T
 from tallyloom.functions.text import normalise, search_words
 
 TAGS = "expense|buy|todo|ledger|weight|note|ask"
-FRAMES = "please|pls|add|note|expense|buy|todo|ledger|weight|spent|paid"
 UNITS = ("kg", "g", "litre", "l", "ml", "pcs", "pkt", "box", "dozen")
 RECORD = "lane:string,disposition:string,records:array<struct<description:string,amount:double,item_text:string,quantity_text:string,unit_text:string,text:string,person_text:string,value:double,action:string>>"
 
@@ -134,40 +133,48 @@ def accuracy(records: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+#: Words that decorate a description, before and after it, and words of currency. Fixed values.
+FRAME_BEFORE = "on|for|spent|purchased|bought|paid|worth"
+FRAME_AFTER = r"ku|kku|le|la|for|worth|vaanginen|vaangina|vaaganum|vaanga\s+vendiyathu|vanganum|kekanum|book\s+pannanum|coming|comming|this|after\s+house\s+warming"
+CURRENCY_WORDS = r"rs\.?|rupees?|₹|inr|usd|kaasu|kasu"
+
+
 def unframed(col: str) -> Column:
-    """Lower-cased text without the polite and lane words before it, however many."""
-    return F.trim(F.regexp_replace(F.lower(F.col(col)), rf"^((?:{FRAMES})\s*[:,-]?\s+)+", ""))
+    """The text without the decorating words on both sides, however many, and without words of currency and marks at its ends."""
+    c = F.regexp_replace(F.col(col), rf"(?i)^\s*(?:(?:{FRAME_BEFORE})\s+)+", "")
+    c = F.regexp_replace(c, rf"(?i)(?:\s+(?:{FRAME_AFTER}))+\s*$", "")
+    c = F.trim(F.regexp_replace(F.regexp_replace(c, rf"(?i)(?<!\w)(?:{CURRENCY_WORDS})(?!\w)", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"^[,:;.\-]+|[,:;.\-]+$", ""))
 
 
 def tagged(col: str) -> dict[str, Column]:
-    """The leading tag ('' if none) and the rest."""
+    """The leading tags, each once, the rest, and what the tags ask for: ``ask`` with at most one lane, ``write`` with one, ``none``, or
+    ``unclear``."""
     c = F.col(col)
-    pattern = rf"^\s*({TAGS})\s*[:-]\s+"
-    return {"tag": F.regexp_extract(F.lower(c), pattern, 1), "body": F.trim(F.regexp_replace(c, rf"(?i){pattern}", ""))}
+    pattern = rf"^\s*((?:(?:{TAGS})\s*[:-]\s*)+)"
+    tags = F.array_distinct(F.regexp_extract_all(F.regexp_extract(F.lower(c), pattern, 1), F.lit(f"({TAGS})"), F.lit(1)))
+    asks, n = F.array_contains(tags, "ask"), F.size(tags)
+    kind = F.when(n == 0, "none").when(asks & (n <= 2), "ask").when(~asks & (n == 1), "write").otherwise("unclear")
+    return {"tags": F.array_join(tags, ","), "body": F.trim(F.regexp_replace(c, rf"(?i){pattern}", "")), "kind": kind}
+
+
+#: Words that tell what a question is about, what it wants and whose side it takes; the first rule that holds counts.
+DOMAINS = (("weight", "weigh|weight|kg"), ("ledger", "owe|owes|balance|borrowed|lent|settle"), ("todo", "todo|todos|task|tasks|pending"), ("buy", "buy|shopping|list of items"), ("note", "write|wrote|note|notes"))
+INTENTS = (("compare", "compare|versus|vs|than"), ("total", "total|spend|spent|how much"), ("latest", "latest|last weight|current"), ("trend", "trend|history"), ("change", "change|changed|difference"), ("balance", "owe|owes|balance"))
+SIDES = (("they_owe_me", "owes me|owe me|who owes"), ("i_owe_them", "i owe|do i owe"))
 
 
 def questions(asks: DataFrame) -> DataFrame:
     """Domain, intent and window of a question (id, text, asked_at); the window is null where it names none."""
     t = F.lower("text")
     has = lambda p: F.regexp_like(t, F.lit(rf"\b(?:{p})\b"))
-    domain = (
-        F.when(has("weigh|weight|kg"), "weight")
-        .when(has("owe|owes|balance|borrowed|lent|settle"), "ledger")
-        .when(has("todo|todos|task|tasks|pending"), "todo")
-        .when(has("buy|shopping|list of items"), "buy")
-        .when(has("write|wrote|note|notes"), "note")
-        .otherwise("expense")
-    )
-    intent = (
-        F.when(has("compare|versus|vs|than"), "compare")
-        .when(has("total|spend|spent|how much"), "total")
-        .when(has("latest|last weight|current"), "latest")
-        .when(has("trend|history"), "trend")
-        .when(has("change|changed|difference"), "change")
-        .when(has("owe|owes|balance"), "balance")
-        .otherwise("list")
-    )
-    side = F.when(has(r"owes me|owe me|who owes"), "they_owe_me").when(has(r"i owe|do i owe"), "i_owe_them")
+    def first(rules: tuple[tuple[str, str], ...], other: str | None) -> Column:
+        out = F.lit(other)
+        for value, words in reversed(rules):
+            out = F.when(has(words), value).otherwise(out)
+        return out
+
+    domain, intent, side = first(DOMAINS, "expense"), first(INTENTS, "list"), first(SIDES, None)
     windows = T.find_phrases(asks, "text", "asked_at").select("id", F.date_format("start_day", "yyyy-MM-dd").alias("start_day"), F.date_format("end_day", "yyyy-MM-dd").alias("end_day"))
     return asks.select("id", domain.alias("domain"), intent.alias("intent"), side.alias("perspective")).join(windows, "id", "left")
 
@@ -243,6 +250,23 @@ def noisy(text: Column, key: Column, seed: int) -> Column:
     return run(text, F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)))
 
 
+#: How a question begins that goes on from the one before. Fixed values.
+FOLLOW_UPS = (
+    "of that", "of those", "of them", "only ", "just ", "apart from", "except ", "what about", "show only", "show open", "show done", "only from", "only people",
+    "done ones", "open ones", "andha ", "adhula ", "mattum", "thavira", "nethu",
+)
+
+
+def follows_up(col: str) -> Column:
+    """Whether a tagged question goes on from the one before: at most four words, or one of the usual beginnings, and no tag of its own."""
+    body = F.trim(F.regexp_replace(F.lower(F.col(col)), r"^\s*ask\s*[:-]\s*", ""))
+    own = F.regexp_like(body, F.lit(r"^(?:expense|buy|todo|weight|ledger|note)\s*:"))
+    begins = F.lit(False)
+    for w in FOLLOW_UPS:
+        begins = begins | F.startswith(body, F.lit(w))
+    return (body != "") & ~own & ((F.size(F.split(body, r"\s+")) <= 4) | begins)
+
+
 def follow_up_context(asks: DataFrame, key: str, order: str) -> DataFrame:
     """Each question with the one before it in the same session."""
     return asks.withColumn("before", F.lag("text").over(Window.partitionBy(key).orderBy(order)))
@@ -261,7 +285,7 @@ def deals(df: DataFrame, text: str = "input") -> DataFrame:
 
 def routes(texts: DataFrame) -> DataFrame:
     """Where an input goes (id, text): ``read`` with a domain for questions, ``write`` with a lane for records, ``note`` for the rest."""
-    tag = tagged("text")["tag"]
+    tag = F.split(tagged("text")["tags"], ",")[0]
     asks = (tag == "ask") | F.regexp_like(F.lower("text"), F.lit(r"^\s*(?:what|who|how|when|show|list|compare|total)\b|\?\s*$"))
     rows = extract(texts.where(tag.isin("", "expense", "buy", "todo", "ledger", "weight")).where(~asks), "text")
     lanes = rows.groupBy("id").agg(F.first("lane").alias("lane"), F.count("pos").alias("n_records"), F.first("disposition").alias("disposition"))

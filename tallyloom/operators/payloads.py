@@ -18,27 +18,36 @@ def first_error(checks: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def validate(p: Column) -> Column:
-    """What is wrong with a write payload, null if nothing is."""
-    has = lambda r, *fs: F.forall(F.array(*[r[f].isNotNull() for f in fs]), lambda x: x)
+#: Fields that the records of a lane must have.
+NEEDED = {"expense": ("description", "amount"), "buy": ("item_text",), "todo": ("text",), "weight": ("person_text", "value"), "ledger": ("person_text", "action")}
+
+
+def _all_have(records: Column, fields: tuple[str, ...]) -> Column:
+    return F.forall(records, lambda r: F.forall(F.array(*[r[f].isNotNull() for f in fields]), lambda x: x))
+
+
+def validate(p: Column, strict: bool = True) -> Column:
+    """What is wrong with a write payload, null if nothing is. The lenient form only asks for a lane and records."""
     lane = p["lane"]
-    fields = (
-        F.when(lane == "expense", F.forall(p["records"], lambda r: has(r, "description", "amount")))
-        .when(lane == "buy", F.forall(p["records"], lambda r: has(r, "item_text")))
-        .when(lane == "todo", F.forall(p["records"], lambda r: has(r, "text")))
-        .when(lane == "ledger", F.forall(p["records"], lambda r: has(r, "person_text", "action")))
-        .otherwise(F.lit(True))
-    )
+    fields = F.lit(True)
+    for name, needed in NEEDED.items():
+        fields = F.when(lane == name, _all_have(p["records"], needed)).otherwise(fields)
+    known = ("lane", lane.isin(*LANES))
+    some = ("no records", F.size(p["records"]) > 0)
+    if not strict:
+        return first_error([known, some])
     return first_error(
         [
             ("task", p["task"] == "parse_write"),
-            ("lane", lane.isin(*LANES)),
+            known,
             ("disposition", p["disposition"].isin(*DISPOSITIONS)),
             ("reason without need", (p["disposition"] != "accept") | p["reason_code"].isNull()),
-            ("no records", F.size(p["records"]) > 0),
+            ("no reason", (p["disposition"] == "accept") | p["reason_code"].isNotNull()),
+            some,
             ("fields", fields),
-            ("date", F.forall(p["records"], lambda r: r["date"].isNull() | F.regexp_like(r["date"], F.lit(DAY)))),
+            ("date", F.forall(p["records"], lambda r: r["date"].isNull() | F.regexp_like(r["date"], F.lit(DAY)) & F.try_to_date(r["date"], "yyyy-MM-dd").isNotNull())),
             ("amount", F.forall(p["records"], lambda r: r["amount"].isNull() | (r["amount"] > 0))),
+            ("value", F.forall(p["records"], lambda r: r["value"].isNull() | (r["value"] > 0) & (r["value"] < 700))),
         ]
     )
 
@@ -65,7 +74,10 @@ def flat_rows(df: DataFrame, json: str, drop: tuple[str, ...] = ()) -> DataFrame
 
 
 def json_object(col: str) -> Column:
-    """The text from the first '{' to the last '}', null without one: the object in a chatty answer."""
-    c = F.col(col)
+    """The object in a chatty answer, null without one: thoughts in tags and code fences apart, the text from the first '{' to the last
+    '}'; a list of records that lacks its opening bracket gets it."""
+    c = F.regexp_replace(F.regexp_replace(F.col(col), r"(?s)<think>.*?</think>", " "), r"```[a-z]*", " ")
     out = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    lacks = F.regexp_like(out, F.lit(r'"records"\s*:\s*\{')) & F.regexp_like(out, F.lit(r"\}\s*\]"))
+    out = F.when(lacks, F.regexp_replace(out, r'"records"\s*:\s*\{', '"records":[{')).otherwise(out)
     return F.nullif(out, F.lit(""))

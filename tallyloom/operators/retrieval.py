@@ -64,20 +64,28 @@ def lexical_parts(notes: DataFrame, query: str, text: str = "content") -> DataFr
     return rows.drop("_have", "_asked").withColumn("lexical", lexical)
 
 
+#: Weights by how sure the words are, and the least scores to answer by. Fixed values.
+BLEND = ((0.45, 0.78, 0.22), (0.20, 0.65, 0.35), (None, 0.15, 0.85))
+GATE = {"anchored": 0.24, "fuzzy": (0.90, 0.28), "lexical": (0.30, 0.34), "semantic": (0.12, 0.82, 0.50)}
+
+
 def blend(lexical: Column, semantic: Column) -> Column:
     """The surer the words, the less the vectors count."""
     s = F.greatest(semantic, F.lit(0.0))
-    return F.when(lexical >= 0.45, 0.78 * lexical + 0.22 * s).when(lexical >= 0.20, 0.65 * lexical + 0.35 * s).otherwise(0.15 * lexical + 0.85 * s)
+    (hi, a, b), (lo, c, d), (_, e, f) = BLEND
+    return F.least(F.lit(1.0), F.when(lexical >= hi, a * lexical + b * s).when(lexical >= lo, c * lexical + d * s).otherwise(e * lexical + f * s))
 
 
-def confident(score: Column, semantic: Column, anchor: bool | Column) -> Column:
-    """Any one kind of evidence that is strong enough to answer by."""
+def confident(score: Column, semantic: Column, words: Column) -> Column:
+    """Any one kind of evidence that is strong enough to answer by. ``words``: the search words of the query; a whole phrase counts if a word
+    of it is met or there are three at most, and single words, slips included, only beside one of four letters or more."""
+    anchor, exact = F.exists(words, lambda w: F.length(w) >= 4), F.col("exact_recall") > 0
     return (
-        (F.col("phrase_hit") > 0)
-        | (F.lit(anchor) & (F.col("exact_recall") > 0) & (score >= 0.24))
-        | ((F.col("fuzzy_recall") >= 0.90) & (score >= 0.28))
-        | ((F.col("lexical") >= 0.30) & (score >= 0.34))
-        | ((F.col("lexical") >= 0.12) & (semantic >= 0.82) & (score >= 0.50))
+        ((F.col("phrase_hit") > 0) & (exact | (F.size(words) <= 3)))
+        | (anchor & exact & (score >= GATE["anchored"]))
+        | (anchor & (F.col("fuzzy_recall") >= GATE["fuzzy"][0]) & (score >= GATE["fuzzy"][1]))
+        | ((F.col("lexical") >= GATE["lexical"][0]) & (score >= GATE["lexical"][1]))
+        | ((F.col("lexical") >= GATE["semantic"][0]) & (semantic >= GATE["semantic"][1]) & (score >= GATE["semantic"][2]))
     )
 
 
@@ -92,8 +100,7 @@ def note_search(notes: DataFrame, vectors: DataFrame, query: str, encode: Callab
     rows = lexical_parts(notes.select("id", "content"), query).join(near, "id", "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
     rows = rows.withColumn("score", blend(F.col("lexical"), F.col("semantic")))
     top = rows.orderBy(F.desc("score"), F.desc("lexical"), F.desc("semantic"), F.desc("id")).limit(k)
-    anchor = max((len(w) for w in query.split()), default=0) >= 4
-    return top.withColumn("confident", confident(F.col("score"), F.col("semantic"), anchor))
+    return top.withColumn("confident", confident(F.col("score"), F.col("semantic"), constant(notes, search_words(F.lit(query)))))
 
 
 def simple_scores(notes: DataFrame, vectors: DataFrame, query: str, encode: Callable[[Column], Column]) -> DataFrame:
@@ -306,9 +313,8 @@ def note_searches(notes: DataFrame, vectors: DataFrame, queries: DataFrame, enco
     rows = _with_vectors(notes.select("id", *[c.alias(n) for n, c in cut("content").items()]), vectors)
     asks = queries.select("id", *[c.alias(n) for n, c in cut("content").items()], encode(F.col("content")).alias("vec"))
     top = _met(rows, asks, _block_notes, PARTS, k, newest=True)
-    anchor = F.exists(F.split("content", r"(?U)\s+"), lambda w: F.length(w) >= 4)
-    anchors = queries.select(F.col("id").alias("query_id"), F.coalesce(anchor, F.lit(False)).alias("_anchor"))
-    return top.join(anchors, "query_id").withColumn("confident", confident(F.col("score"), F.col("semantic"), F.col("_anchor"))).drop("_anchor")
+    words = queries.select(F.col("id").alias("query_id"), F.coalesce(search_words("content"), F.array().cast("array<string>")).alias("_asked"))
+    return top.join(words, "query_id").withColumn("confident", confident(F.col("score"), F.col("semantic"), F.col("_asked"))).drop("_asked")
 
 
 def simple_searches(notes: DataFrame, vectors: DataFrame, queries: DataFrame, encode: Callable[[Column], Column], k: int | None = 10) -> DataFrame:

@@ -63,6 +63,11 @@ def _(r: Records) -> DataFrame:
     return r.of("notes", "id", "processed_at", "event_day").select("id", day.alias("day")).where("day >= '2025-12-01'")
 
 
+@R.add("f3_note_window_created", "SELECT id, event_day AS day FROM x_notes WHERE event_day >= '2025-12-01'")
+def _(r: Records) -> DataFrame:
+    return r.of("notes", "id", "event_day").select("id", F.col("event_day").alias("day")).where("day >= '2025-12-01'")
+
+
 @R.add("f4_not_contains", "SELECT id, description FROM x_expenses WHERE contains(lower(description), 'rent') AND NOT contains(lower(description), 'locker')")
 def _(r: Records) -> DataFrame:
     return apply_filters(r.of("expenses", "id", "description", "event_day"), Question(contains="rent", not_contains="Locker")).select("id", "description")
@@ -150,13 +155,10 @@ def _(r: Records) -> DataFrame:
 # Joins
 
 
-@R.add(
-    "j1_notes_with_vectors",
-    "SELECT n.id, n.note_domain, count(v.id) AS n_vectors FROM x_notes n LEFT JOIN x_vectors v ON v.source_note_id = n.id GROUP BY ALL",
-)
+@R.add("j1_notes_with_vectors", "SELECT n.id, n.note_domain, n.event_day, v.id AS vector_id, v.domain FROM x_notes n LEFT JOIN x_vectors v ON v.source_note_id = n.id")
 def _(r: Records) -> DataFrame:
-    v = r.of("note_vectors", "id", "source_note_id").groupBy(F.col("source_note_id").alias("id")).agg(N().alias("n_vectors"))
-    return r.of("notes", "id", "note_domain").select("id", "note_domain").join(v, "id", "left").select("id", "note_domain", F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"))
+    v = r.of("note_vectors", "id", "source_note_id", "domain").toDF("vector_id", "id", "domain")
+    return r.of("notes", "id", "note_domain", "event_day").join(v, "id", "left")
 
 
 @R.add("j2_notes_without_vector", "SELECT id FROM x_notes n WHERE NOT EXISTS (SELECT 1 FROM x_vectors v WHERE v.source_note_id = n.id)")
@@ -315,7 +317,7 @@ def _(r: Records) -> DataFrame:
 
 @R.add(
     "a14_latency_stats",
-    """SELECT kind, count(ms) AS n, min(ms) AS least, round(avg(ms), 6) AS mean, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.9) AS p90, quantile_cont(ms, 0.99) AS p99, max(ms) AS most
+    """SELECT kind, count(ms) AS n, min(ms) AS least, round(avg(ms), 6) AS mean, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.9) AS p90, quantile_cont(ms, 0.95) AS p95, quantile_cont(ms, 0.99) AS p99, max(ms) AS most
     FROM (SELECT kind, try_cast(json_extract_string(CASE WHEN json_valid(metadata_json) THEN metadata_json END, '$.ms') AS DOUBLE) AS ms FROM x_activity) GROUP BY kind""",
 )
 def _(r: Records) -> DataFrame:
@@ -375,10 +377,11 @@ def _(r: Records) -> DataFrame:
     return votes.groupBy("description").agg(F.max_by("group_key", F.struct("n", -F.col("first_id"))).alias("usual_group"))
 
 
-@R.add("a25_ordered_distinct", "WITH f AS (SELECT kind, response_text, min(id) AS first_id FROM x_activity GROUP BY 1, 2) SELECT kind, count(*) AS n_texts, arg_min(response_text, first_id) AS first_text FROM f GROUP BY kind")
+@R.add("a25_ordered_distinct", "WITH f AS (SELECT description, group_key, min(id) AS first_id FROM x_expenses WHERE group_key IS NOT NULL GROUP BY 1, 2) SELECT description, count(*) AS n_groups, string_agg(group_key, ',' ORDER BY first_id) AS groups FROM f GROUP BY description")
 def _(r: Records) -> DataFrame:
-    first = r.of("activity", "id", "kind", "response_text").groupBy("kind", "response_text").agg(F.min("id").alias("first_id"))
-    return first.groupBy("kind").agg(N().alias("n_texts"), F.min_by("response_text", "first_id").alias("first_text"))
+    first = r.of("expenses", "id", "description", "group_key").where("group_key IS NOT NULL").groupBy("description", "group_key").agg(F.min("id").alias("first_id"))
+    listed = F.array_sort(F.collect_list(F.struct("first_id", "group_key")))  # one entry per group
+    return first.groupBy("description").agg(N().alias("n_groups"), F.array_join(F.transform(listed, lambda x: x["group_key"]), ",").alias("groups"))
 
 
 # Latest rows
@@ -474,13 +477,14 @@ def _(r: Records) -> DataFrame:
 
 
 @R.add("u6_unseen_inputs", """WITH n AS (SELECT id, regexp_replace(trim(lower(input)), '\\s+', ' ', 'g') AS norm, split FROM x_writes),
-    v AS (SELECT norm, min(id) AS id FROM n WHERE split = 'valid' AND norm NOT IN (SELECT norm FROM n WHERE split = 'train') GROUP BY norm) SELECT id, norm FROM v""")
+    v AS (SELECT norm, min(id) AS id FROM n WHERE split = 'valid' AND norm NOT IN (SELECT norm FROM n WHERE split = 'train') GROUP BY norm) SELECT id, norm, row_number() OVER (ORDER BY md5('0:' || id), id) AS place FROM v""")
 def _(r: Records) -> DataFrame:
     from tallyloom.functions.text import normalise
+    from tallyloom.operators.dataset import seeded_places
 
     n = r.writes.select("id", normalise("input").alias("norm"), "split")
-    fresh = n.where("split = 'valid'").join(n.where("split = 'train'").select("norm"), "norm", "left_anti")
-    return fresh.groupBy("norm").agg(F.min("id").alias("id")).select("id", "norm")
+    fresh = n.where("split = 'valid'").join(n.where("split = 'train'").select("norm"), "norm", "left_anti").groupBy("norm").agg(F.min("id").alias("id"))
+    return seeded_places(fresh, "id", 0).select("id", "norm", "place")
 
 
 QUERIES, SQL = R.queries, R.sql

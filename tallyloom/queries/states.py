@@ -164,9 +164,11 @@ def _scored(r: Records) -> DataFrame:
     return K.score(r.writes.select("id", o.alias("expected"), F.when(F.col("id") % 10 != 0, got).alias("got")))
 
 
-_METRICS = ("valid", "task_ok", "lane_ok", "disposition_ok", "reason_ok", "record_count_ok")
-_MARKS = """WITH m AS (SELECT id, output.lane AS lane, id % 10 <> 0 AS valid, id % 10 <> 0 AS task_ok, id % 10 <> 0 AS lane_ok, id % 10 <> 0 AND (id % 7 <> 0 OR output.disposition = 'confirm') AS disposition_ok,
-    CASE WHEN output.reason_code IS NOT NULL THEN id % 10 <> 0 END AS reason_ok, id % 10 <> 0 AND NOT (id % 9 = 0 AND len(output.records) > 0) AS record_count_ok FROM x_writes)"""
+_AMOUNTS = "CASE WHEN list_bool_or(list_transform(output.records, lambda r: r.amount IS NOT NULL)) THEN id % 10 <> 0 AND NOT (id % 9 = 0 AND len(output.records) > 0) END"
+_EXACT = "CASE WHEN id % 10 <> 0 THEN NOT (id % 7 = 0 AND output.disposition <> 'confirm') AND NOT (id % 9 = 0 AND len(output.records) > 0) END"
+_METRICS = ("valid", "task_ok", "lane_ok", "disposition_ok", "reason_ok", "record_count_ok", "amounts_ok", "exact")
+_MARKS = f"""WITH m AS (SELECT id, output.lane AS lane, id % 10 <> 0 AS valid, id % 10 <> 0 AS task_ok, id % 10 <> 0 AS lane_ok, id % 10 <> 0 AND (id % 7 <> 0 OR output.disposition = 'confirm') AS disposition_ok,
+    CASE WHEN output.reason_code IS NOT NULL THEN id % 10 <> 0 END AS reason_ok, id % 10 <> 0 AND NOT (id % 9 = 0 AND len(output.records) > 0) AS record_count_ok, {_AMOUNTS} AS amounts_ok, {_EXACT} AS exact FROM x_writes)"""
 
 
 @R.add("a16_metrics", _MARKS + " ".join(["SELECT metric, count(ok) AS applicable, count(*) FILTER (WHERE ok) AS correct, CASE WHEN count(ok) > 0 THEN round(100.0 * count(*) FILTER (WHERE ok) / count(ok), 2) END AS rate FROM (", " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS ok FROM m" for m in _METRICS), ") GROUP BY metric"]))
@@ -174,12 +176,17 @@ def _(r: Records) -> DataFrame:
     return K.summarise(_scored(r), _METRICS)
 
 
-@R.add("a17_by_lane", _MARKS + "SELECT lane, count(*) AS n_rows, count(*) FILTER (WHERE valid) AS n_valid, count(*) FILTER (WHERE record_count_ok) AS n_count_ok FROM m GROUP BY lane")
+@R.add("a17_by_lane", _MARKS + "SELECT lane, count(*) AS n_rows, count(*) FILTER (WHERE valid) AS n_valid, count(*) FILTER (WHERE record_count_ok) AS n_count_ok, count(*) FILTER (WHERE exact) AS n_exact FROM m GROUP BY lane")
 def _(r: Records) -> DataFrame:
-    return _scored(r).groupBy(F.col("expected.lane").alias("lane")).agg(N().alias("n_rows"), F.count_if("valid").alias("n_valid"), F.count_if("record_count_ok").alias("n_count_ok"))
+    return _scored(r).groupBy(F.col("expected.lane").alias("lane")).agg(N().alias("n_rows"), F.count_if("valid").alias("n_valid"), F.count_if("record_count_ok").alias("n_count_ok"), F.count_if("exact").alias("n_exact"))
 
 
-@R.add("a18_m5_buckets")
+@R.add(
+    "a18_m5_buckets",
+    f"""WITH m AS (SELECT id, output.lane AS lane, CASE WHEN id % 10 = 0 THEN 'no result' WHEN id % 7 = 0 AND output.disposition <> 'confirm' THEN 'disposition' WHEN id % 9 = 0 AND len(output.records) > 0 THEN 'record count' ELSE 'ok' END AS bucket FROM x_writes),
+    c AS (SELECT lane, bucket, count(*) AS n_rows, array_to_string(list_slice(list(id ORDER BY id), 1, 3), ',') AS examples FROM m GROUP BY 1, 2)
+    SELECT lane, bucket, n_rows, round(100.0 * n_rows / sum(n_rows) OVER (PARTITION BY lane), 2) AS share, examples FROM c QUALIFY row_number() OVER (PARTITION BY lane ORDER BY n_rows DESC, bucket) <= 8""",
+)
 def _(r: Records) -> DataFrame:
     return K.bucket_report(K.bucket(_scored(r)).withColumn("lane", F.col("expected.lane")), "lane")
 
@@ -246,7 +253,7 @@ def _(r: Records) -> DataFrame:
     return r.writes.select("id", B.weighted_choice(B.uniform(8, "id"), [("canonical", 60), ("random", 30), ("absolute", 10)]).alias("route"))
 
 
-@R.add("b4_unique_sample")
+@R.add("b4_unique_sample", "WITH k AS (SELECT sha256(input) AS k, min(id) AS id, any_value(input) AS input FROM x_writes WHERE input IS NOT NULL GROUP BY 1) SELECT id, input FROM k ORDER BY md5('13:' || k) LIMIT 500")
 def _(r: Records) -> DataFrame:
     return B.unique_sample(r.writes.select("id", "input", "output"), "input", 500, 13).select("id", "input")
 
@@ -265,7 +272,10 @@ def _(r: Records) -> DataFrame:
     return follow_up_context(asks, "kind", "o").select("id", "before")
 
 
-@R.add("b7_allocation")
+_SHARES = """, e AS (SELECT *, {0} * w / sum(w) OVER () AS x FROM c), f AS (SELECT *, floor(x) AS lo, row_number() OVER (ORDER BY floor(x) - x, k) AS rn, {0} - sum(floor(x)) OVER () AS spare FROM e), n AS (SELECT k, cast(lo + CASE WHEN rn <= spare THEN 1 ELSE 0 END AS BIGINT) AS n_rows FROM f)"""
+
+
+@R.add("b7_allocation", "WITH c AS (SELECT output.lane AS k, count(*) AS w FROM x_writes GROUP BY 1)" + _SHARES.format("(500 - (SELECT count(*) FROM c))") + " SELECT k AS lane, n_rows + 1 AS n_rows FROM n")
 def _(r: Records) -> DataFrame:
     counts = {x[0]: x[1] for x in r.writes.groupBy("output.lane").count().collect()}
     lanes = sorted(counts)
@@ -278,7 +288,7 @@ def _(r: Records) -> DataFrame:
     return r.writes.groupBy(o["lane"].alias("lane")).agg(N().alias("n_rows"), F.count_if(F.size(o["records"]) == 0).alias("n_empty"), F.count_if((o["disposition"] == "confirm") & o["reason_code"].isNull()).alias("n_unreasoned"), F.count_distinct("input").alias("n_inputs"))
 
 
-@R.add("j10_held_out")
+@R.add("j10_held_out", "WITH c AS (SELECT DISTINCT id, input FROM heldout_cases) SELECT id, input, input IN (SELECT input FROM x_writes WHERE split = 'train') AS \"overlaps\" FROM c ORDER BY \"overlaps\", md5('17:' || id) LIMIT 500")
 def _(r: Records) -> DataFrame:
     cands = r.raw("heldout_cases").select("id", "input").distinct()
     return B.held_out(cands, r.writes.where("split = 'train'"), "input", 500, 17).select("id", "input", "overlaps")
@@ -289,9 +299,11 @@ def _(r: Records) -> DataFrame:
     return B.split(r.writes.select("id"), "id", 42, [("train", 80), ("valid", 10), ("test", 10)])
 
 
-@R.add("s12_exact_split")
+@R.add("s12_exact_split", "WITH t AS (SELECT count(*) AS m FROM x_writes), c AS (SELECT * FROM (VALUES (1, 80), (2, 10), (3, 10)) v(k, w))" + _SHARES.format("((SELECT m FROM t) - 3)") + """, u AS (SELECT k, sum(n_rows + 1) OVER (ORDER BY k) AS upto FROM n),
+    p AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || id), id) AS place FROM x_writes)
+    SELECT id, CASE WHEN place <= (SELECT upto FROM u WHERE k = 1) THEN 'train' WHEN place <= (SELECT upto FROM u WHERE k = 2) THEN 'valid' ELSE 'test' END AS part FROM p""")
 def _(r: Records) -> DataFrame:
-    return B.exact_split(r.writes.select("id"), "id", 42, [("train", 80), ("valid", 10), ("test", 10)]).groupBy("part").agg(N().alias("n_rows"))
+    return B.exact_split(r.writes.select("id"), "id", 42, [("train", 80), ("valid", 10), ("test", 10)]).select("id", "part")
 
 
 @R.add("u3_u5_catalogue", "SELECT DISTINCT g || ' for ' || d AS label FROM (SELECT DISTINCT group_key AS g FROM x_expenses WHERE group_key IS NOT NULL), (SELECT DISTINCT note_domain AS d FROM x_notes WHERE note_domain IS NOT NULL)")
@@ -326,6 +338,20 @@ def _(r: Records) -> DataFrame:
     return L.log_lines(r.raw("documents").where("source = 'event_archive'"), "doc_id", "text").withColumn("line_no", F.col("line_no").cast("long"))
 
 
+@R.add(
+    "s7_sections",
+    """WITH a AS (SELECT id, replace(input_text, chr(10), ' ') AS i, coalesce(kind, '') AS kind, at_time, replace(coalesce(response_text, ''), chr(10), ' ') AS r FROM x_activity)
+    SELECT id, cast(1 AS INTEGER) AS entry_no, i AS input, CASE WHEN kind IN ('note', 'ask') THEN kind END AS kind, CASE WHEN kind IN ('note', 'ask') THEN at_time END AS at,
+    CASE WHEN kind IN ('note', 'ask') THEN r ELSE trim(kind || ' ' || at_time) || CASE WHEN r = '' THEN '' ELSE chr(10) || chr(10) || r END END AS body, '[parsed: rule=' || kind || ']' AS parsed, '[time: ' || id || ' ms]' AS took FROM a""",
+)
+def _(r: Records) -> DataFrame:
+    flat = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("\n"), F.lit(" "))
+    kind = F.coalesce("kind", F.lit(""))
+    text = F.concat(F.lit("before\n> "), flat("input_text"), F.lit("\n"), F.trim(F.concat_ws(" ", kind, "at")), F.lit("\n\n"), flat("response_text"), F.lit("\n[parsed: rule="), kind, F.lit("]\n[time: "), F.col("id").cast("string"), F.lit(" ms]\n"))
+    texts = r.of("activity", "id", "input_text", "response_text", "kind", "at").where("input_text IS NOT NULL").select("id", text.alias("text"))
+    return L.sections(texts, "id", "text", "> ", ("note", "ask"))
+
+
 @R.add("s8_archived_days", "SELECT strftime(at_time, '%Y-%m-%d') AS day, count(*) AS n_rows FROM x_events GROUP BY 1")
 def _(r: Records) -> DataFrame:
     path = L.scratch(r.spark, "archive")
@@ -333,9 +359,12 @@ def _(r: Records) -> DataFrame:
     return r.spark.read.schema("id long, category string, event_day string, day string").json(path).groupBy("day").agg(N().alias("n_rows"))
 
 
-@R.add("s9_columns")
+_NAMES = ("persons", "notes", "expenses", "ledger", "weights", "activity_log", "parse_write", "heldout_cases", "documents", "note_vectors", "note_tombstones", "lang_labels", "nicknames", "mix_targets", "pack_capacities", "events", "embeddings", "region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+@R.add("s9_columns", "SELECT table_name AS relation, column_name, cast(ordinal_position - 1 AS INTEGER) AS position FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{n}'" for n in _NAMES) + ")")
 def _(r: Records) -> DataFrame:
-    return L.columns_of(r.spark, r.folder, ("persons", "notes", "expenses", "ledger", "weights", "activity_log", "parse_write", "note_vectors"))
+    return L.columns_of(r.spark, r.folder, _NAMES).select("relation", "column_name", "position")
 
 
 @R.add("s11_padded", "SELECT id, rpad(cast(id AS VARCHAR), (SELECT max(length(cast(id AS VARCHAR))) FROM x_persons)::INTEGER, ' ') || ' | ' || rpad(name, (SELECT max(length(name)) FROM x_persons)::INTEGER, ' ') AS line FROM x_persons")
@@ -352,11 +381,14 @@ def _(r: Records) -> DataFrame:
     return G.guarded(r.spark, {"expenses": r.expenses, "ledger": r.ledger}, sql, ["2025-06-01"])
 
 
-@R.add("g_verdicts")
+_TRIED = ("SELECT * FROM expenses", "DROP TABLE expenses", "SELECT * FROM notes", "WITH notes AS (SELECT 1 AS x FROM expenses) SELECT * FROM notes", "SELECT reflect('a', 'b') FROM expenses", "SELECT 1; SELECT 2", "SELECT 1", "INSERT INTO ledger VALUES (1)")
+_ACCEPTED = {_TRIED[0], _TRIED[3]}
+
+
+@R.add("g_verdicts", "SELECT * FROM (VALUES " + ", ".join(f"('{t.replace(chr(39), chr(39) * 2)}', {str(t in _ACCEPTED).lower()})" for t in _TRIED) + ") v(statement, ok)")
 def _(r: Records) -> DataFrame:
-    tried = ("SELECT * FROM expenses", "DROP TABLE expenses", "SELECT * FROM notes", "WITH notes AS (SELECT 1 AS x FROM expenses) SELECT * FROM notes", "SELECT reflect('a', 'b') FROM expenses", "SELECT 1; SELECT 2")
-    verdicts = [(s, (v := G.validate(r.spark, s, ("expenses", "ledger"))).ok, v.reason) for s in tried]
-    return r.spark.createDataFrame(verdicts, "statement string, ok boolean, reason string")
+    verdicts = [(t, G.validate(r.spark, t, ("expenses", "ledger")).ok) for t in _TRIED]
+    return r.spark.createDataFrame(verdicts, "statement string, ok boolean")
 
 
 # Streams

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,19 +67,48 @@ def _(r: Records) -> DataFrame:
     return r.notes.select("id", F.substring("event_day", 1, 7).alias("month"), F.substring("content", 1, 40).alias("head"))
 
 
-@R.add("x8_items")
+_APART = r"regexp_replace(regexp_replace(input, '([0-9]),([0-9])', '\1' || chr(1) || '\2', 'g'), '([0-9]),([0-9])', '\1' || chr(1) || '\2', 'g')"
+
+
+@R.add(
+    "x8_items",
+    rf"""WITH p AS (SELECT id, list_filter(list_transform(regexp_split_to_array({_APART}, '[,;|&\n]|\s+and\s+'), lambda x: trim(regexp_replace(replace(x, chr(1), ','), '^\s*(?:[-*•]|[0-9]+[.)])\s+', ''))), lambda x: x <> '') AS items FROM x_writes)
+    SELECT id, cast(i - 1 AS INTEGER) AS pos, items[i] AS item FROM (SELECT id, items, unnest(generate_series(1, len(items))) AS i FROM p)""",
+)
 def _(r: Records) -> DataFrame:
     return r.writes.select("id", F.posexplode(X.split_items("input")).alias("pos", "item"))
 
 
-@R.add("x9_framing_stripped", r"SELECT id, trim(regexp_replace(lower(input), '^((?:please|pls|add|note|expense|buy|todo|ledger|weight|spent|paid)\s*[:,-]?\s+)+', '')) AS body FROM x_writes")
+_X9 = rf"regexp_replace(regexp_replace(said, '^\s*(?:(?:{E.FRAME_BEFORE})\s+)+', '', 'i'), '(?:\s+(?:{E.FRAME_AFTER}))+\s*$', '', 'i')"
+_MONEY_WORD = rf"'(^|\W)(?:{E.CURRENCY_WORDS})(\W|$)', '\1 \2', 'gi'"
+
+
+@R.add(
+    "x9_framing_stripped",
+    rf"""WITH t AS (SELECT id, CASE id % 3 WHEN 0 THEN 'spent on ' || description || ' ku vaanginen' WHEN 1 THEN 'bought ' || description || ' for rs. ' ELSE description END AS said FROM x_expenses)
+    SELECT id, trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace({_X9}, {_MONEY_WORD}), {_MONEY_WORD}), '\s+', ' ', 'g')), '^[,:;.\-]+|[,:;.\-]+$', '', 'g')) AS body FROM t""",
+)
 def _(r: Records) -> DataFrame:
-    return r.writes.select("id", E.unframed("input").alias("body"))
+    d, k = F.col("description"), F.col("id") % 3
+    said = F.when(k == 0, F.concat(F.lit("spent on "), d, F.lit(" ku vaanginen"))).when(k == 1, F.concat(F.lit("bought "), d, F.lit(" for rs. "))).otherwise(d)
+    return r.of("expenses", "id", "description").select("id", said.alias("said")).select("id", E.unframed("said").alias("body"))
+
+
+_TAGGED = r"CASE id % 3 WHEN 0 THEN 'ask: ' || input_text WHEN 1 THEN input_text ELSE 'Note: ' || input_text END"
+_PREFIX = rf"'^\s*((?:(?:{E.TAGS})\s*[:-]\s*)+)'"
 
 
-@R.add("x10_tags", r"SELECT id, regexp_extract(lower(input_text), '^\s*(expense|buy|todo|ledger|weight|note|ask)\s*[:-]\s+', 1) AS tag, trim(regexp_replace(input_text, '^\s*(?i:expense|buy|todo|ledger|weight|note|ask)\s*[:-]\s+', '')) AS body FROM x_activity")
+@R.add(
+    "x10_tags",
+    rf"""WITH t AS (SELECT id, {_TAGGED} AS x FROM x_activity), p AS (SELECT id, x, regexp_extract_all(regexp_extract(lower(x), {_PREFIX}, 1), '({E.TAGS})') AS every FROM t),
+    u AS (SELECT id, x, list_filter(every, lambda t, i: list_position(every, t) = i) AS tags FROM p)
+    SELECT id, array_to_string(tags, ',') AS tags, trim(regexp_replace(x, {_PREFIX}, '', 'i')) AS body, CASE WHEN len(tags) = 0 THEN 'none' WHEN list_contains(tags, 'ask') AND len(tags) <= 2 THEN 'ask' WHEN NOT list_contains(tags, 'ask') AND len(tags) = 1 THEN 'write' ELSE 'unclear' END AS kind FROM u""",
+)
 def _(r: Records) -> DataFrame:
-    return r.activity.select("id", *[c.alias(n) for n, c in E.tagged("input_text").items()])
+    t, k = F.col("input_text"), F.col("id") % 3
+    said = F.when(k == 0, F.concat(F.lit("ask: "), t)).when(k == 1, t).otherwise(F.concat(F.lit("Note: "), t))
+    rows = r.of("activity", "id", "input_text").select("id", said.alias("said"))
+    return rows.select("id", *[c.alias(n) for n, c in E.tagged("said").items()])
 
 
 @R.add("x11_pieces")
@@ -86,17 +117,25 @@ def _(r: Records) -> DataFrame:
     return r.expenses.select("id", E.pieces(F.col("description"), words).alias("pieces"))
 
 
-@R.add("x12_json_objects", r"SELECT id, nullif(regexp_extract('Sure: ' || coalesce(metadata_json, '') || ' done', '(\{.*\})', 1, 's'), '') AS object FROM x_notes")
+@R.add(
+    "x12_json_objects",
+    r"""WITH m AS (SELECT id, coalesce(metadata_json, '') AS m FROM x_notes) SELECT id, CASE WHEN id % 3 = 2 THEN '{"lane":"note","records":[{"id":' || id || '}]}' ELSE nullif(regexp_extract(m, '(\{.*\})', 1, 's'), '') END AS object FROM m""",
+)
 def _(r: Records) -> DataFrame:
-    chatty = r.notes.select("id", F.concat(F.lit("Sure: "), F.coalesce("metadata_json", F.lit("")), F.lit(" done")).alias("answer"))
-    return chatty.select("id", P.json_object("answer").alias("object"))
+    m, k = F.coalesce("metadata_json", F.lit("")), F.col("id") % 3
+    broken = F.concat(F.lit('Sure: {"lane":"note","records":{"id":'), F.col("id").cast("string"), F.lit("}]} done"))
+    answer = F.when(k == 0, F.concat(F.lit("<think>{maybe}\n</think>Sure: "), m, F.lit(" done"))).when(k == 1, F.concat(F.lit("```json\n"), m, F.lit("\n```\nAnything else?"))).otherwise(broken)
+    return r.of("notes", "id", "metadata_json").select("id", answer.alias("answer")).select("id", P.json_object("answer").alias("object"))
+
 
+_REC = "{" + ", ".join(f"'{k}': r.{k}" for k in ("action", "amount", "date", "description", "group", "item_text", "note", "person_text", "quantity_text", "text", "unit", "unit_text", "value")) + "}"
 
-@R.add("x13_canonical_keys")
+
+@R.add("x13_canonical_keys", f"SELECT id, sha256(cast(to_json({{'disposition': output.disposition, 'lane': output.lane, 'reason_code': output.reason_code, 'records': list_transform(output.records, lambda r: {_REC}), 'task': output.task}}) AS VARCHAR)) AS key FROM x_writes")
 def _(r: Records) -> DataFrame:
     from tallyloom.operators.dataset import canonical_key
 
-    return r.writes.select("id", canonical_key("output").alias("key"))
+    return r.writes.select("id", canonical_key(r.writes, "output").alias("key"))
 
 
 @R.add("x14_noisy_inputs")
@@ -200,22 +239,64 @@ def _phrase_sql(parts: list[tuple[str, str, str]]) -> str:
 
 _M = "date_trunc('month', a)"
 _D4 = [("first week of the month", _M, f"{_M} + INTERVAL 6 DAY"), ("third week of the month", f"{_M} + INTERVAL 14 DAY", f"{_M} + INTERVAL 20 DAY"), ("fourth week of the month", f"{_M} + INTERVAL 21 DAY", "last_day(a)"), ("second half of the month", f"{_M} + INTERVAL 15 DAY", "last_day(a)")]
-_D3 = [("3 days ago", "a - INTERVAL 3 DAY", "a - INTERVAL 3 DAY"), ("seven days ago", "a - INTERVAL 7 DAY", "a - INTERVAL 7 DAY")]
 _RECENT = lambda m: f"CASE WHEN make_date(year(a), {m}, 1) <= a THEN make_date(year(a), {m}, 1) ELSE make_date(year(a) - 1, {m}, 1) END"
 _D5 = [("january", _RECENT(1), f"last_day({_RECENT(1)})"), ("november", _RECENT(11), f"last_day({_RECENT(11)})")]
 _FY = "make_date(year(a) - CASE WHEN month(a) < 4 THEN 1 ELSE 0 END, 4, 1)"
-_D6 = [("last 30 days", "a - INTERVAL 29 DAY", "a"), ("last fortnight", "a - INTERVAL 13 DAY", "a"), ("quarter to date", "date_trunc('quarter', a)", "a"), ("last quarter", "date_trunc('quarter', a) - INTERVAL 3 MONTH", "date_trunc('quarter', a) - INTERVAL 1 DAY"), ("this fiscal year", _FY, f"{_FY} + INTERVAL 12 MONTH - INTERVAL 1 DAY"), ("business week", "date_trunc('week', a)", "date_trunc('week', a) + INTERVAL 4 DAY")]
+_D6 = [("last fortnight", "a - INTERVAL 13 DAY", "a"), ("quarter to date", "date_trunc('quarter', a)", "a"), ("last quarter", "date_trunc('quarter', a) - INTERVAL 3 MONTH", "date_trunc('quarter', a) - INTERVAL 1 DAY"), ("this fiscal year", _FY, f"{_FY} + INTERVAL 12 MONTH - INTERVAL 1 DAY"), ("business week", "date_trunc('week', a)", "date_trunc('week', a) + INTERVAL 4 DAY")]
 
-for _name, _parts in (("d3_days_ago", _D3), ("d4_month_weeks", _D4), ("d5_bare_months", _D5), ("d6_windows", _D6)):
+for _name, _parts in (("d4_month_weeks", _D4), ("d5_bare_months", _D5), ("d6_windows", _D6)):
     R.add(_name, _phrase_sql(_parts))(lambda r, names=tuple(p for p, _, _ in _parts): _phrases(r, names))
 
 
-@R.add("d7_phrases_found")
+def _every_phrase() -> list[tuple[str, str, str]]:
+    """Each phrase of the dimension in SQL over the day ``a``."""
+    one = lambda p, e: (p, e, e)
+    out = [one("today", "a"), one("yesterday", "a - INTERVAL 1 DAY"), one("day before yesterday", "a - INTERVAL 2 DAY"), one("tomorrow", "a + INTERVAL 1 DAY")]
+    week, quarter = "date_trunc('week', a)", "date_trunc('quarter', a)"
+    for p, k in (("last", -1), ("this", 0), ("next", 1)):
+        month = f"date_trunc('month', a + INTERVAL ({k}) MONTH)"
+        out += [(f"{p} week", f"{week} + INTERVAL ({7 * k}) DAY", f"{week} + INTERVAL ({7 * k + 6}) DAY"), (f"{p} weekend", f"{week} + INTERVAL ({7 * k + 5}) DAY", f"{week} + INTERVAL ({7 * k + 6}) DAY")]
+        out += [(f"{p} month", month, f"last_day({month})"), (f"{p} year", f"make_date(year(a) + {k}, 1, 1)", f"make_date(year(a) + {k}, 12, 31)")]
+    out += [("month to date", _M, "a"), ("year to date", "date_trunc('year', a)", "a"), ("this quarter", quarter, f"{quarter} + INTERVAL 3 MONTH - INTERVAL 1 DAY"), ("last fiscal year", f"{_FY} - INTERVAL 12 MONTH", f"{_FY} - INTERVAL 1 DAY")]
+    out += [("second week of the month", f"{_M} + INTERVAL 7 DAY", f"{_M} + INTERVAL 13 DAY"), ("first half of the month", _M, f"{_M} + INTERVAL 14 DAY"), *_D4, *_D6]
+    for i, name in enumerate(T.WEEKDAYS):
+        own = "(isodow(a) - 1)"
+        out += [one(f"next {name}", f"a + cast(({i} - {own} + 6) % 7 + 1 AS INTEGER)"), one(f"last {name}", f"a - cast(({own} - {i} + 6) % 7 + 1 AS INTEGER)"), one(f"this {name}", f"a + cast(({i} - {own} + 7) % 7 AS INTEGER)")]
+    return out + [(name, _RECENT(i), f"last_day({_RECENT(i)})") for i, name in enumerate(T.MONTHS, 1)]
+
+
+def _found_sql(rows: str) -> str:
+    """Rows (id, x, a) with the first phrase of x and its days."""
+    parts = _every_phrase()
+    assert {p for p, _, _ in parts} == set(T.phrase_names()), {p for p, _, _ in parts} ^ set(T.phrase_names())
+    number = "coalesce(try_cast(w AS INTEGER), list_position([" + ", ".join(f"'{n}'" for n in T.NUMBERS) + "], w))"
+    pick = lambda i: "CASE phrase " + " ".join(f"WHEN '{p[0]}' THEN cast({p[i]} AS DATE)" for p in parts) + " END"
+    pattern = "(?s)^(.*?)(^|[^a-z0-9])(" + "|".join([*T.COUNTED, *T.phrase_names()]) + ")($|[^a-z0-9].*$)"
+    return f"""f0 AS (SELECT id, a, regexp_extract(lower(x), '{pattern}', ['p', 'q', 'phrase', 'r']) AS g FROM ({rows}) WHERE a IS NOT NULL),
+    f1 AS (SELECT id, a, g.phrase AS phrase, trim(regexp_replace(g.p || g.q || g.r, '\\s+', ' ', 'g')) AS residual, regexp_extract(g.phrase, '(\\d+|{"|".join(T.NUMBERS)}) day', 1) AS w FROM f0 WHERE g.phrase <> ''),
+    f2 AS (SELECT *, CASE WHEN w <> '' THEN {number} END AS n FROM f1),
+    found AS (SELECT id, phrase, residual, strftime(CASE WHEN n IS NULL THEN {pick(1)} WHEN phrase LIKE '%ago' THEN a - cast(n AS INTEGER) ELSE a - cast(n - 1 AS INTEGER) END, '%Y-%m-%d') AS start_day,
+        strftime(CASE WHEN n IS NULL THEN {pick(2)} WHEN phrase LIKE '%ago' THEN a - cast(n AS INTEGER) ELSE a END, '%Y-%m-%d') AS end_day FROM f2)"""
+
+
+@R.add("d3_d7_phrases_found", "WITH " + _found_sql("SELECT id, input AS x, try_cast(substr(anchor_date, 1, 10) AS DATE) AS a FROM x_writes") + " SELECT id, phrase, start_day, end_day, residual FROM found")
 def _(r: Records) -> DataFrame:
     found = T.find_phrases(r.writes.select("id", "input", "anchor_date"), "input", "anchor_date")
     return found.select("id", "phrase", *_OUT("start_day", "end_day"), "residual")
 
 
+_COUNTS = "CASE id % 3 WHEN 0 THEN 'total of the last ' || (id % 400) || ' days please' WHEN 1 THEN 'paid ' || (id % 9 + 1) || ' days ago' ELSE 'seen seven days ago in may' END"
+
+
+@R.add("d3_d6_counted_days", "WITH " + _found_sql(f"SELECT id, {_COUNTS} AS x, cast(event_day AS DATE) AS a FROM x_weights WHERE event_day IS NOT NULL") + " SELECT id, phrase, start_day, end_day, residual FROM found")
+def _(r: Records) -> DataFrame:
+    i = F.col("id")
+    n = lambda c: c.cast("string")
+    said = F.when(i % 3 == 0, F.concat(F.lit("total of the last "), n(i % 400), F.lit(" days please"))).when(i % 3 == 1, F.concat(F.lit("paid "), n(i % 9 + 1), F.lit(" days ago"))).otherwise("seen seven days ago in may")
+    rows = r.of("weights", "id", "event_day").select("id", said.alias("said"), "event_day")
+    return T.find_phrases(rows, "said", "event_day").select("id", "phrase", *_OUT("start_day", "end_day"), "residual")
+
+
 @R.add(
     "d8_absolute_days",
     r"""WITH t AS (SELECT id, CASE id % 4 WHEN 0 THEN strftime(cast(event_day AS DATE), '%d-%m-%Y') WHEN 1 THEN strftime(cast(event_day AS DATE), '%-d %b %Y') WHEN 2 THEN strftime(cast(event_day AS DATE), '%b %-d') ELSE '31-02-2025' END AS said, event_day FROM x_weights)
@@ -241,10 +322,17 @@ def _(r: Records) -> DataFrame:
     return r.expenses.withColumn("month_name", F.when(m == this, "this_month").when(m == last, "last_month")).where("month_name IS NOT NULL").groupBy("month_name").agg(N().alias("n_rows"))
 
 
-@R.add("d11_days_in_texts")
+@R.add("d9_default_months", "SELECT cast(coalesce(sum(cast(amount AS DECIMAL(30,4))), 0) AS DOUBLE) AS total FROM x_expenses WHERE event_day BETWEEN '2026-05-01' AND '2026-05-31'")
 def _(r: Records) -> DataFrame:
-    found = T.find_phrases(r.activity.select("id", "input_text", "at"), "input_text", "at")
-    return found.select("id", "phrase", *_OUT("start_day"))
+    first = F.trunc(F.lit(AS_OF).cast("date"), "MM")
+    rows = r.of("expenses", "amount", "event_day").where(F.col("event_day").between(F.date_format(first, "yyyy-MM-dd"), F.date_format(F.last_day(first), "yyyy-MM-dd")))
+    return rows.agg(F.coalesce(F.sum(F.col("amount").cast("decimal(30,4)")), F.lit(0)).cast("double").alias("total"))
+
+
+@R.add("d11_days_in_texts", "WITH " + _found_sql("SELECT id, input_text AS x, try_cast(substr(at_time, 1, 10) AS DATE) AS a FROM x_activity") + " SELECT id, phrase, start_day, residual FROM found")
+def _(r: Records) -> DataFrame:
+    found = T.find_phrases(r.of("activity", "id", "input_text", "at"), "input_text", "at")
+    return found.select("id", "phrase", *_OUT("start_day"), "residual")
 
 
 @R.add("d12_days_since", f"SELECT person, date_diff('day', cast(max(event_day) AS DATE), DATE '{AS_OF}') AS days FROM x_weights GROUP BY person")
@@ -255,10 +343,11 @@ def _(r: Records) -> DataFrame:
 # Nested values
 
 
-@R.add("m1_expense_records", "SELECT id, amount, description, date FROM x_lanes WHERE lane = 'expense'")
+@R.add("m1_lane_records", "SELECT id, lane, amount, description, item_text, quantity_text, unit_text, text, person_text, value, action, date FROM x_lanes")
 def _(r: Records) -> DataFrame:
-    rows = P.lane_rows(r.writes, "expense")
-    return rows.select((F.col("id") * 100 + F.col("pos")).alias("id"), "r.amount", "r.description", "r.date")
+    fields = ("amount", "description", "item_text", "quantity_text", "unit_text", "text", "person_text", "value", "action", "date")
+    rows = [P.lane_rows(r.writes, lane).select((F.col("id") * 100 + F.col("pos")).alias("id"), F.lit(lane).alias("lane"), *[F.col(f"r.{f}").alias(f) for f in fields]) for lane in P.LANES]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @R.add("m2_metadata_entries", "WITH j AS (SELECT id, CASE WHEN json_valid(metadata_json) THEN metadata_json END AS m FROM x_notes) SELECT id, key, json_extract_string(m, '$.' || key) AS value FROM (SELECT id, m, unnest(json_keys(m)) AS key FROM j WHERE m IS NOT NULL) WHERE key <> 'confidence'")
@@ -292,7 +381,7 @@ def _(r: Records) -> DataFrame:
     return w.select("id", F.size("output.records").cast("long").alias("n_records"), F.round(total, 4).alias("total")).where("n_records > 0")
 
 
-@R.add("m6_changed_keys")
+@R.add("m6_changed_keys", "WITH j AS (SELECT id, CASE WHEN json_valid(metadata_json) THEN metadata_json END AS m FROM x_notes) SELECT id, CASE WHEN json_extract_string(m, '$.rule') IS NOT NULL THEN 'checked,rule' ELSE 'checked' END AS changed FROM j WHERE m IS NOT NULL")
 def _(r: Records) -> DataFrame:
     from tallyloom.operators.evalkit import changed_keys
 
@@ -306,19 +395,28 @@ def _(r: Records) -> DataFrame:
     return r.ledger.groupBy("person").agg(F.concat_ws(",", F.array_sort(F.collect_set("direction"))).alias("directions"))
 
 
-@R.add("f14_payload_errors", """SELECT id, CASE WHEN output.task IS DISTINCT FROM 'parse_write' THEN 'task' WHEN output.lane IS NULL OR output.lane NOT IN ('expense', 'buy', 'todo', 'weight', 'ledger') THEN 'lane'
-    WHEN output.disposition IS NULL OR output.disposition NOT IN ('accept', 'confirm', 'reject') THEN 'disposition' WHEN output.disposition = 'accept' AND output.reason_code IS NOT NULL THEN 'reason without need' WHEN coalesce(len(output.records), 0) = 0 THEN 'no records' END AS error FROM x_writes""")
-def _(r: Records) -> DataFrame:
-    checked = r.writes.select("id", P.validate(F.col("output")).alias("error"))
-    structural = ("task", "lane", "disposition", "reason without need", "no records")
-    return checked.select("id", F.when(F.col("error").isin(*structural), F.col("error")).alias("error"))
+_FORALL = "coalesce(list_bool_and(list_transform(output.records, lambda r: {0})), true)"
+_FIELDS = f"""CASE output.lane WHEN 'expense' THEN {_FORALL.format("r.description IS NOT NULL AND r.amount IS NOT NULL")} WHEN 'buy' THEN {_FORALL.format("r.item_text IS NOT NULL")}
+    WHEN 'todo' THEN {_FORALL.format("r.text IS NOT NULL")} WHEN 'weight' THEN {_FORALL.format("r.person_text IS NOT NULL AND r.value IS NOT NULL")} WHEN 'ledger' THEN {_FORALL.format("r.person_text IS NOT NULL AND r.action IS NOT NULL")} ELSE true END"""
 
 
-@R.add("f14_payload_fields")
+@R.add(
+    "f14_payload_errors",
+    f"""SELECT id, output.lane AS lane, CASE WHEN output.task IS DISTINCT FROM 'parse_write' THEN 'task' WHEN output.lane IS NULL OR output.lane NOT IN ('expense', 'buy', 'todo', 'weight', 'ledger') THEN 'lane'
+    WHEN output.disposition IS NULL OR output.disposition NOT IN ('accept', 'confirm', 'reject') THEN 'disposition' WHEN output.disposition = 'accept' AND output.reason_code IS NOT NULL THEN 'reason without need'
+    WHEN output.disposition <> 'accept' AND output.reason_code IS NULL THEN 'no reason' WHEN coalesce(len(output.records), 0) = 0 THEN 'no records' WHEN NOT {_FIELDS} THEN 'fields'
+    WHEN NOT {_FORALL.format("r.date IS NULL OR regexp_full_match(r.date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(r.date AS DATE) IS NOT NULL")} THEN 'date' WHEN NOT {_FORALL.format("r.amount IS NULL OR r.amount > 0")} THEN 'amount'
+    WHEN NOT {_FORALL.format("r.value IS NULL OR r.value > 0 AND r.value < 700")} THEN 'value' END AS error FROM x_writes""",
+)
 def _(r: Records) -> DataFrame:
     return r.writes.select("id", F.col("output.lane").alias("lane"), P.validate(F.col("output")).alias("error"))
 
 
+@R.add("f14_payload_lenient", """SELECT id, CASE WHEN output.lane IS NULL OR output.lane NOT IN ('expense', 'buy', 'todo', 'weight', 'ledger') THEN 'lane' WHEN coalesce(len(output.records), 0) = 0 THEN 'no records' END AS error FROM x_writes""")
+def _(r: Records) -> DataFrame:
+    return r.writes.select("id", P.validate(F.col("output"), strict=False).alias("error"))
+
+
 # Retrieval
 
 QUERY = "renew the gas connection"
@@ -395,12 +493,12 @@ def _(r: Records) -> DataFrame:
 @R.add(
     "t16_letter_vectors",
     f"""WITH t AS (SELECT id, lower(content) AS t FROM x_notes), c AS (SELECT id, {_LETTERS} AS v FROM t), n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM c)
-    SELECT id, round(v[1] / nullif(n, 0), 6) AS a, round(v[5] / nullif(n, 0), 6) AS e FROM n WHERE id NOT IN (SELECT source_note_id FROM x_vectors WHERE source_note_id IS NOT NULL)""",
+    SELECT id, array_to_string(list_transform(v, lambda x: printf('%.5f', x / nullif(n, 0))), ' ') AS vec FROM n WHERE n > 0 AND id NOT IN (SELECT source_note_id FROM x_vectors WHERE source_note_id IS NOT NULL)""",
 )
 def _(r: Records) -> DataFrame:
     lacking = r.of("notes", "id", "content").join(r.repeated("note_vectors", "source_note_id").toDF("id"), "id", "left_anti")
-    v = lacking.select("id", X.letter_vector("content").alias("v"))
-    return v.select("id", F.round(F.col("v")[0], 6).alias("a"), F.round(F.col("v")[4], 6).alias("e"))
+    v = lacking.select("id", X.letter_vector("content").alias("v")).where("v IS NOT NULL")
+    return v.select("id", F.array_join(F.transform("v", lambda x: F.format_string("%.5f", x)), " ").alias("vec"))
 
 
 # Extraction
@@ -416,13 +514,30 @@ def _(r: Records) -> DataFrame:
     return E.accuracy(E.extract(r.writes.select("id", "input", "anchor_date")), r.writes)
 
 
-@R.add("e7_questions")
+_HAS = lambda p: rf"regexp_matches(t, '\b(?:{p})\b')"
+_CASE = lambda rules, other: "CASE " + " ".join(f"WHEN {_HAS(p)} THEN '{v}'" for v, p in rules) + f" ELSE '{other}' END"
+
+
+@R.add(
+    "e7_questions",
+    "WITH q AS (SELECT id, lower(input_text) AS t, at_time FROM x_activity WHERE kind = 'ask'), "
+    + _found_sql("SELECT id, t AS x, try_cast(substr(at_time, 1, 10) AS DATE) AS a FROM q")
+    + f" SELECT q.id, {_CASE(E.DOMAINS, 'expense')} AS domain, {_CASE(E.INTENTS, 'list')} AS intent, CASE WHEN {_HAS(E.SIDES[0][1])} THEN '{E.SIDES[0][0]}' WHEN {_HAS(E.SIDES[1][1])} THEN '{E.SIDES[1][0]}' END AS perspective, start_day, end_day FROM q LEFT JOIN found ON q.id = found.id",
+)
 def _(r: Records) -> DataFrame:
     asks = r.activity.where("kind = 'ask'").select("id", F.col("input_text").alias("text"), F.col("at").alias("asked_at"))
     return E.questions(asks)
 
 
-@R.add("e8_inferred_groups")
+_E8 = f"""WITH e AS (SELECT id, description, group_key AS g, trim(regexp_replace(lower(description), '\\s+', ' ', 'g')) AS d, {_WORDS.replace("input_text", "description")} AS ws FROM x_expenses),
+    b1 AS (SELECT d, g FROM (SELECT d, g, count(*) AS n FROM e WHERE g IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY d ORDER BY n DESC, g) = 1),
+    v AS (SELECT w, g, count(*) AS n FROM (SELECT unnest(list_distinct(ws)) AS w, g FROM e WHERE g IS NOT NULL) GROUP BY 1, 2), b2 AS (SELECT w, g FROM v QUALIFY row_number() OVER (PARTITION BY w ORDER BY n DESC, g) = 1),
+    l AS (SELECT e.id, e.description, e.d, e.ws, b1.g AS exact FROM e LEFT JOIN b1 ON e.d = b1.d WHERE e.g IS NULL),
+    o AS (SELECT id, unnest(list_distinct(ws)) AS w FROM l WHERE exact IS NULL), c AS (SELECT o.id, b2.g, count(*) AS n FROM o JOIN b2 ON o.w = b2.w GROUP BY 1, 2), b3 AS (SELECT id, g AS voted FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, g) = 1)
+    SELECT l.id, description, coalesce(exact, voted) AS group_key, CASE WHEN exact IS NOT NULL THEN 'description' WHEN voted IS NOT NULL THEN 'words' END AS by FROM l LEFT JOIN b3 ON l.id = b3.id"""
+
+
+@R.add("e8_inferred_groups", _E8)
 def _(r: Records) -> DataFrame:
     return E.infer_groups(r.expenses)
 
@@ -444,10 +559,18 @@ def _(r: Records) -> DataFrame:
     return r.spark.sql("SELECT t.id, e.lane, e.pos, e.what, e.amount FROM typed_inputs t, LATERAL extract_records(t.input) e")
 
 
-@R.add("e12_follow_ups", r"SELECT id, len(string_split(trim(regexp_replace(lower(input_text), '^\s*ask\s*[:-]\s+', '')), ' ')) <= 4 AS follow_up FROM x_activity WHERE kind = 'ask'")
+_ASKED_TEXT = "CASE WHEN id % 4 = 0 THEN 'ask: what about ' || input_text ELSE input_text END"
+
+
+@R.add(
+    "e12_follow_ups",
+    r"WITH b AS (SELECT id, trim(regexp_replace(lower(" + _ASKED_TEXT + r"), '^\s*ask\s*[:-]\s*', '')) AS b FROM x_activity WHERE kind = 'ask') SELECT id, b <> '' AND NOT regexp_matches(b, '^(expense|buy|todo|weight|ledger|note)\s*:') AND (len(regexp_split_to_array(b, '\s+')) <= 4 OR "
+    + " OR ".join(f"starts_with(b, '{w}')" for w in E.FOLLOW_UPS)
+    + ") AS follow_up FROM b",
+)
 def _(r: Records) -> DataFrame:
-    body = F.trim(F.regexp_replace(F.lower("input_text"), r"^\s*ask\s*[:-]\s+", ""))
-    return r.activity.where("kind = 'ask'").select("id", (F.size(F.split(body, " ")) <= 4).alias("follow_up"))
+    said = F.when(F.col("id") % 4 == 0, F.concat(F.lit("ask: what about "), "input_text")).otherwise(F.col("input_text"))
+    return r.of("activity", "id", "input_text", "kind").where("kind = 'ask'").select("id", said.alias("said")).select("id", E.follows_up("said").alias("follow_up"))
 
 
 QUERIES, SQL = R.queries, R.sql

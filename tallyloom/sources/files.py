@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,10 +61,23 @@ def log_lines(texts: DataFrame, id_col: str, text: str) -> DataFrame:
     )
 
 
-def sections(lines: DataFrame, id_col: str, order: str, text: str, marker: str) -> DataFrame:
-    """Groups lines under the marker line above them: section number 0 for lines before the first one."""
-    w = Window.partitionBy(id_col).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("section", F.sum(F.regexp_like(text, F.lit(marker)).cast("int")).over(w))
+def sections(texts: DataFrame, id_col: str, text: str, marker: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Entries of texts in which each one begins with a marker line: id, entry_no, input, kind, at, body, parsed, took.
+
+    The line after the marker may hold a kind and a time; of the others ``[parsed: ...]`` and ``[time: ...]`` are kept apart, the
+    rest is the body without blank edges. Lines before the first marker are left out.
+    """
+    entries = F.split(F.concat(F.lit("\n"), F.col(text)), f"\n{re.escape(marker)}")
+    rows = texts.select(F.col(id_col).alias("id"), F.posexplode(entries).alias("entry_no", "e")).where("entry_no > 0").withColumn("lines", F.split("e", "\n"))
+    second = F.split(F.trim(F.coalesce(F.get("lines", F.lit(1)), F.lit(""))), " ")
+    has = second[0].isin(*kinds)
+    rest = F.slice("lines", F.when(has, 3).otherwise(2), F.size("lines"))
+    mark = lambda x, name: F.startswith(x, F.lit(f"[{name}:")) & F.endswith(x, F.lit("]"))
+    body = F.filter(rest, lambda x: ~mark(x, "parsed") & ~mark(x, "time"))
+    return rows.select(
+        "id", "entry_no", F.col("lines")[0].alias("input"), F.when(has, second[0]).alias("kind"), F.when(has, F.nullif(F.array_join(F.slice(second, 2, F.size(second)), " "), F.lit(""))).alias("at"),
+        F.regexp_replace(F.array_join(body, "\n"), r"^\n+|\n+$", "").alias("body"), F.try_element_at(F.filter(rest, lambda x: mark(x, "parsed")), F.lit(-1)).alias("parsed"), F.try_element_at(F.filter(rest, lambda x: mark(x, "time")), F.lit(-1)).alias("took"),
+    )
 
 
 def columns_of(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
