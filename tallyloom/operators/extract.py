@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +16,7 @@ from tallyloom.functions.text import normalise, search_words
 
 TAGS = "expense|buy|todo|ledger|weight|note|ask"
 UNITS = ("kg", "g", "litre", "l", "ml", "pcs", "pkt", "box", "dozen")
-RECORD = "lane:string,disposition:string,records:array<struct<description:string,amount:double,item_text:string,quantity_text:string,unit_text:string,text:string,person_text:string,value:double,action:string>>"
+RECORD = "lane:string,disposition:string,records:array<struct<description:string,amount:double,item_text:string,quantity_text:string,unit_text:string,text:string,person_text:string,value:double,action:string,date:string>>"
 
 _TAG = re.compile(rf"^\s*({TAGS}|shopping)\s*[:–-]\s+", re.I)
 _SEP = re.compile(r"\s*(?:(?<!\d),|,(?!\d)|[;|/+\n])\s*")
@@ -28,16 +30,53 @@ _END = re.compile(r"(?<!\bDr)(?<!\bMr)(?<!\bMrs)(?<!\bRs)[.।]\s")
 #: How a remark that is no item of its own begins.
 _REMARK = re.compile(r"^(?:the receipt|as told|to be shared|all paid|for the trip|still to be|bought at|before the|while we|thanks)\b", re.I)
 _NUMBER = re.compile(r"(?<![\w.:])\d[\d,]*(?:\.\d+)?(?![\w:])")
-_MONEY = re.compile(r"(?:^|(?<=\s))(?:for\s+)?(?:rs\.?\s*|₹\s*|inr\s*)?(\d[\d,]*(?:\.\d+)?)\s*(?:rs|rupees|/-)?(?=\s|$)", re.I)
+_FACTORS = {"k": 1e3, "thousand": 1e3, "l": 1e5, "lakh": 1e5, "lakhs": 1e5, "cr": 1e7, "crore": 1e7, "crores": 1e7}
+_AMOUNT = r"(?:rs\.?\s*|₹\s*|inr\s*)?(?P<n>\d[\d,]*(?:\.\d+)?)\s*(?P<f>k|thousand|l|lakhs?|cr|crores?)?\s*(?:rs|rupees|/-)?"
+_MONEY = re.compile(rf"(?:^|(?<=\s))(?:for\s+)?{_AMOUNT}(?=\s|$)", re.I)
 _QUANTITY = re.compile(rf"(?:^|(?<=\s))(\d+(?:\.\d+)?)\s*({'|'.join(UNITS)})(?=\s|$)", re.I)
 _WEIGHT = re.compile(r"(\d{1,3}(?:\.\d+)?)\s*(?:kg|kgs)?\b", re.I)
-_DEALS = (
-    ("borrowed", re.compile(r"\bborrowed\s+(?P<n>[\d.,]+)\s+from\s+(?P<p>.+)", re.I)),
-    ("received", re.compile(r"\bgot\s+(?P<n>[\d.,]+)\s+back\s+from\s+(?P<p>.+)", re.I)),
-    ("owe", re.compile(r"\bi\s+owe\s+(?P<p>.+?)\s+(?P<n>[\d.,]+)(?:\s|$)", re.I)),
-    ("gave", re.compile(r"\b(?:gave|lent)\s+(?P<p>.+?)\s+(?P<n>[\d.,]+)(?:\s|$)", re.I)),
-    ("paid", re.compile(r"\bpaid\s+(?P<p>.+?)\s+(?P<n>[\d.,]+)(?:\s|$)", re.I)),
+_WHO = r"(?P<p>[^\W\d_][^\d,]*?)"
+_TO_END = r"(?P<p>[^\W\d_][^\d,]*)"
+#: What people say of money between two, in the order in which it is tried, and what it does.
+_DEALS = tuple(
+    (action, re.compile(words.replace("WHO_END", _TO_END).replace("WHO", _WHO).replace("SUM", rf"{_AMOUNT}(?=\s|$)"), re.I))
+    for action, words in (
+        ("settle", r"^(?:all\s+)?settled(?:\s+up)?\s+with\s+WHO_END"),
+        ("received", r"\bgot\s+SUM\s+back\s+from\s+WHO_END"),
+        ("gave", r"^WHO\s+took\s+SUM\s+from\s+me\b"),
+        ("borrowed", r"\b(?:borrowed|took)\s+SUM\s+from\s+WHO_END"),
+        ("gave", r"^WHO\s+(?:still\s+)?owes\s+me\s+SUM"),
+        ("owe", r"\bi\s+(?:still\s+)?owe\s+WHO\s+SUM"),
+        ("received", r"^(?!i\s)WHO\s+(?:gave|lent|sent|paid)\s+me\s+(?:back\s+)?SUM"),
+        ("received", r"^(?!i\s)WHO\s+(?:returned|repaid|gave\s+back)\s+(?:me\s+)?SUM"),
+        ("received", r"\b(?:received|got)\s+SUM\s+from\s+WHO_END"),
+        ("gave", r"\b(?:gave|give|lent|sent)\s+SUM\s+to\s+WHO_END"),
+        ("paid", r"\bpaid\s+SUM\s+to\s+WHO_END"),
+        ("gave", r"(?:^|\bi\s+)(?:gave|give|lent|sent)\s+(?!me\b)WHO\s+SUM"),
+        ("paid", r"(?:^|\bi\s+)paid\s+(?!me\b)WHO\s+SUM"),
+    )
 )
+_GAVE = re.compile(rf"^(?P<p>\S+)\s+(?:gave|lent|sent)\s+{_AMOUNT}(?=\s|$)", re.I)
+_DAY = re.compile(r"(?:^|\s+)(?:on\s+)?(today|yesterday|tomorrow|day before yesterday|(?:(?:last|this|next)\s+)?(?:" + "|".join(T.WEEKDAYS) + r")|\d{1,3} days? ago|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})$", re.I)
+
+
+def day_of(phrase: str, anchor: date, ahead: bool = False) -> date | None:
+    """The day a phrase at the end of a record names; a bare weekday is the last such day, or with ``ahead`` the next one from the anchor on;
+    null for no such day."""
+    p = re.sub(r"\s+", " ", phrase.lower())
+    plain = {"today": 0, "yesterday": -1, "tomorrow": 1, "day before yesterday": -2}
+    if p in plain:
+        return anchor + timedelta(plain[p])
+    if m := re.match(r"(\d+) days? ago", p):
+        return anchor - timedelta(int(m.group(1)))
+    if p.split()[-1] in T.WEEKDAYS:
+        k = T.WEEKDAYS.index(p.split()[-1]) - anchor.weekday()
+        steps = {"next": (k + 6) % 7 + 1, "this": (k + 7) % 7, "last": -((-k + 6) % 7 + 1)}
+        return anchor + timedelta(steps.get(p.split()[0], steps["this" if ahead else "last"]))
+    try:
+        return date.fromisoformat(p) if "-" in p else date(*map(int, p.split("/")[::-1]))
+    except ValueError:
+        return None
 
 
 def _number(text: str) -> float | None:
@@ -47,25 +86,47 @@ def _number(text: str) -> float | None:
         return None
 
 
+def _sum(m: re.Match) -> float | None:
+    n = _number(m.group("n"))
+    return n if n is None else n * _FACTORS.get((m.group("f") or "").lower(), 1.0)
+
+
 def _rec(**kw) -> dict:
-    keys = ("description", "amount", "item_text", "quantity_text", "unit_text", "text", "person_text", "value", "action")
+    keys = ("description", "amount", "item_text", "quantity_text", "unit_text", "text", "person_text", "value", "action", "date")
     return {k: kw.get(k) for k in keys}
 
 
-def parse(text: str) -> dict:
-    """Lane, disposition and records of one text; an untagged text takes the lane its first item fits."""
+def _deal(part: str, people: frozenset[str]) -> dict | None:
+    for action, rx in _DEALS:
+        if m := rx.search(part):
+            who = re.sub(r"\s+for\s+.*$", "", m.group("p")).strip()
+            amount = None if action == "settle" else _sum(m)
+            return _rec(person_text=who, amount=amount, action=action) if who else None
+    if (m := _GAVE.search(part)) and m.group("p").lower() in people:
+        return _rec(person_text=m.group("p"), amount=_sum(m), action="received")
+    return None
+
+
+def parse(text: str, anchor: date | None = None, people: frozenset[str] = frozenset()) -> dict:
+    """Lane, disposition and records of one text; an untagged text takes the lane its first item fits.
+
+    A day at the end of a record is its date, else the anchor is. ``people`` are names in lower case: one before a number alone is a
+    reading, one before "gave" the giver. A remark is no record; what follows it is one only if it has the
+    lane's own number and no more than four words.
+    """
     tag = _TAG.match(text)
     body = text[tag.end() :] if tag else text
     lane = tag.group(1).lower().replace("shopping", "buy") if tag else None
     parts = [p.strip(" .!?") for p in _END.split(body) for p in _SEP.split(p) if p.strip(" .!?")]
-    # A remark ends the list.
     end = next((i for i, p in enumerate(parts) if i and _REMARK.match(p)), len(parts))
+    later = [p for p in parts[end:] if not _REMARK.match(p)]
     parts = parts[:end]
+    first = parts[0] if parts else ""
     if lane is None:
-        first = parts[0] if parts else ""
-        if any(rx.search(first) for _, rx in _DEALS):
+        words = first.lower().split()
+        if _deal(first, people):
             lane = "ledger"
-        elif re.search(r"\bweigh|\d\s*kg\b.*(?:today|morning|food|walk)", body, re.I):
+        elif re.search(r"\bweigh|\d\s*kg\b.*(?:today|morning|food|walk)", body, re.I) or len(words) > 1 and words[0] in people and _WEIGHT.match(words[1]):
             lane = "weight"
         elif _QUANTITY.search(first):
             lane = "buy"
@@ -73,6 +134,8 @@ def parse(text: str) -> dict:
             lane = "expense"
         else:
             lane = "todo"
+    needs = {"expense": _MONEY, "buy": _QUANTITY}.get(lane)
+    parts += [p for p in later if lane == "ledger" and _deal(p, people) or needs is not None and needs.search(p) and len(p.split()) <= 4]
     out = []
     if lane == "expense":
         parts = [x for p in parts for x in (_AND.split(p) if len(_NUMBER.findall(p)) > 1 else [p])]
@@ -80,44 +143,49 @@ def parse(text: str) -> dict:
         rx = _THEN if lane == "todo" else _LIST
         parts = [x for p in parts for x in rx.split(p) if x]
     for p in parts:
+        on = None
+        if anchor is not None and (d := _DAY.search(p)) and d.start() and (named := day_of(d.group(1), anchor, lane == "todo")):
+            p, on = p[: d.start()].strip(), named
+        got = None
         if lane == "expense" and (m := _MONEY.search(p)):
             what = _AROUND.sub(" ", p[: m.start()] + " " + p[m.end() :]).strip()
             if what:
-                out.append(_rec(description=re.sub(r"\s+", " ", what), amount=_number(m.group(1))))
+                got = _rec(description=re.sub(r"\s+", " ", what), amount=_sum(m))
         elif lane == "buy":
             m = _QUANTITY.search(p)
             if m:
-                out.append(_rec(item_text=re.sub(r"\s+", " ", p[: m.start()] + " " + p[m.end() :]).strip(), quantity_text=m.group(1), unit_text=m.group(2).lower()))
+                got = _rec(item_text=re.sub(r"\s+", " ", p[: m.start()] + " " + p[m.end() :]).strip(), quantity_text=m.group(1), unit_text=m.group(2).lower())
             else:
-                out.append(_rec(item_text=p))
+                got = _rec(item_text=p)
         elif lane == "ledger":
-            for action, rx in _DEALS:
-                if m := rx.search(p):
-                    who = re.sub(r"\s+for\s+.*$", "", m.group("p")).strip()
-                    out.append(_rec(person_text=who, amount=_number(m.group("n")), action=action))
-                    break
+            got = _deal(p, people)
         elif lane == "weight" and (m := _WEIGHT.search(p)):
             value = _number(m.group(1))
+            who = re.sub(r"\b(?:weighs?|weight|weighed|is|was|at|myself|my|now)\b|:", " ", p[: m.start()], flags=re.I).strip()
             if value is not None and 0 < value < 200:
-                out.append(_rec(value=value))
-                break
+                got = _rec(value=value, person_text=who or None)
         elif lane == "todo":
-            out.append(_rec(text=p))
+            got = _rec(text=p)
+        if got:
+            got["date"] = str(on or anchor) if on or anchor else None
+            out.append(got)
     return {"lane": lane, "disposition": "accept" if out else "reject", "records": out}
 
 
-def extract(df: DataFrame, text: str = "input") -> DataFrame:
+def extract(df: DataFrame, text: str = "input", anchor: str = "anchor_date") -> DataFrame:
     """One row per record: id, lane, disposition, pos and the record's fields; a text without any keeps one row.
 
-    The text is parsed in Arrow batches by one vectorised function; null texts give no record.
+    The text is parsed in Arrow batches by one vectorised function; null texts give no record. Records without a day of their own
+    take that of the column ``anchor``, where there is one.
     """
 
     @F.pandas_udf(f"struct<{RECORD}>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([parse(t or "") for t in s], columns=["lane", "disposition", "records"])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, anchors in batches:
+            yield pd.DataFrame([parse(t or "", None if pd.isna(a) else a) for t, a in zip(texts, anchors)], columns=["lane", "disposition", "records"])
 
-    rows = df.select("id", run(text).alias("p")).select("id", "p.lane", "p.disposition", F.posexplode_outer("p.records").alias("pos", "r"))
+    day = F.try_to_date(F.substring(anchor, 1, 10), "yyyy-MM-dd") if anchor in df.columns else F.lit(None).cast("date")
+    rows = df.select("id", run(text, day).alias("p")).select("id", "p.lane", "p.disposition", F.posexplode_outer("p.records").alias("pos", "r"))
     return rows.select("id", "lane", "disposition", "pos", "r.*")
 
 
@@ -197,10 +265,14 @@ def infer_groups(expenses: DataFrame) -> DataFrame:
     return exact.join(voted, "id", "left").select("id", "description", F.coalesce("exact", "voted").alias("group_key"), F.when(F.col("exact").isNotNull(), "description").when(F.col("voted").isNotNull(), "words").alias("by"))
 
 
-def pieces(col: Column, vocabulary: DataFrame, most: int = 200_000) -> Column:
-    """Longest-match pieces of each word from a vocabulary of at most ``most`` words; letters stand for what it lacks."""
-    words = frozenset(r[0] for r in vocabulary.limit(most).collect())
-    held = vocabulary.sparkSession.sparkContext.broadcast(words)
+def pieces(col: Column, vocabulary: DataFrame, most: int = 200_000, length: int | None = None) -> Column:
+    """Longest-match pieces of each word, accents folded, between CLS and SEP; UNK for a word that the vocabulary has no pieces for.
+
+    ``vocabulary``: w, n. Its ``most`` most frequent words (ties in alphabetical order) and all letters are the pieces. With ``length`` the
+    result has that many pieces, cut off before SEP or filled up with PAD.
+    """
+    words = frozenset(r[0] for r in vocabulary.orderBy(F.desc("n"), "w").limit(most).select("w").collect())
+    held = vocabulary.sparkSession.sparkContext.broadcast(words | {c for w in words for c in w})
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -210,12 +282,22 @@ def pieces(col: Column, vocabulary: DataFrame, most: int = 200_000) -> Column:
         def one(word: str) -> list[str]:
             out, at = [], 0
             while at < len(word):
-                end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in known), at + 1)
+                end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in known), None)
+                if end is None:
+                    return ["[UNK]"]
                 out.append(word[at:end] if at == 0 else "##" + word[at:end])
                 at = end
             return out
 
-        return s.map(lambda t: None if t is None else " ".join(p for w in re.findall(r"[a-z0-9]+", t.lower()) for p in one(w)))
+        def text(t: str) -> str:
+            folded = "".join(c for c in unicodedata.normalize("NFD", t.lower()) if unicodedata.category(c) != "Mn" or not unicodedata.combining(c))
+            got = [p for w in re.findall(r"[^\W_]+(?:[^\W_]|[ऀ-෿])*|[^\w\s]", folded) for p in one(w)]
+            if length is not None:
+                got = got[: max(0, length - 2)]
+            fill = [] if length is None else ["[PAD]"] * (length - 2 - len(got))
+            return " ".join(["[CLS]", *got, "[SEP]", *fill])
+
+        return s.map(lambda t: None if t is None else text(t))
 
     return run(col)
 
@@ -273,11 +355,11 @@ def follow_up_context(asks: DataFrame, key: str, order: str) -> DataFrame:
 
 
 #: What a deal does to the balance: given away counts for, taken against. Fixed values.
-DIRECTIONS = {"gave": "gave", "paid": "gave", "lent": "gave", "borrowed": "received", "received": "received", "owe": "received"}
+DIRECTIONS = {"gave": "gave", "paid": "gave", "borrowed": "received", "received": "received", "owe": "received"}
 
 
 def deals(df: DataFrame, text: str = "input") -> DataFrame:
-    """Ledger entries in texts with the direction their words mean, whatever lane they are tagged with."""
+    """Ledger entries in texts with the direction their words mean, whatever lane they are tagged with; settling has none of its own."""
     m = F.create_map(*[F.lit(x) for kv in DIRECTIONS.items() for x in kv])
     rows = extract(df, text).where("action IS NOT NULL")
     return rows.select("id", "pos", "person_text", "amount", "action", m[F.col("action")].alias("direction"))

@@ -113,8 +113,8 @@ def _(r: Records) -> DataFrame:
 
 @R.add("x11_pieces")
 def _(r: Records) -> DataFrame:
-    words = r.expenses.select(F.explode(X.search_words("description")).alias("w")).groupBy("w").agg(N().alias("n")).where("n >= 20").select("w")
-    return r.expenses.select("id", E.pieces(F.col("description"), words).alias("pieces"))
+    words = r.expenses.select(F.explode(X.search_words("description")).alias("w")).groupBy("w").agg(N().alias("n"))
+    return r.expenses.select("id", E.pieces(F.col("description"), words, length=24).alias("pieces"))
 
 
 @R.add(
@@ -509,6 +509,31 @@ def _(r: Records) -> DataFrame:
     return E.extract(r.writes.select("id", "input", "anchor_date"))
 
 
+def _extracted(r: Records, lane: str, what: str, *more) -> DataFrame:
+    """What the extraction makes of the texts of a lane, to be held against the gold records."""
+    texts = r.writes.where(F.col("output.lane") == lane)
+    rows = E.extract(texts.select("id", "input", "anchor_date"))
+    return rows.groupBy("id").agg(F.first("lane").alias("lane"), F.count("pos").alias("n_records"), F.round(F.coalesce(F.sum(what), F.lit(0.0)), 2).alias("total"), F.max("date").alias("last_day"), *more)
+
+
+_GOLD = "SELECT id, output.lane AS lane, len(output.records) AS n_records, round(coalesce(list_sum(list_transform(output.records, lambda r: r.{what})), 0), 2) AS total, list_max(list_transform(output.records, lambda r: r.date)) AS last_day{more} FROM x_writes WHERE output.lane = '{lane}'"
+
+
+@R.add("e1_expense_gold", _GOLD.format(lane="expense", what="amount", more=""))
+def _(r: Records) -> DataFrame:
+    return _extracted(r, "expense", "amount")
+
+
+@R.add("e4_weight_gold", _GOLD.format(lane="weight", what="value", more=""))
+def _(r: Records) -> DataFrame:
+    return _extracted(r, "weight", "value")
+
+
+@R.add("e5_ledger_gold", _GOLD.format(lane="ledger", what="amount", more=", array_to_string(list_sort(list_transform(output.records, lambda r: r.action)), ',') AS actions"))
+def _(r: Records) -> DataFrame:
+    return _extracted(r, "ledger", "amount", F.array_join(F.array_sort(F.collect_list("action")), ",").alias("actions"))
+
+
 @R.add("e1_e5_accuracy")
 def _(r: Records) -> DataFrame:
     return E.accuracy(E.extract(r.writes.select("id", "input", "anchor_date")), r.writes)

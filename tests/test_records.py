@@ -285,3 +285,42 @@ def test_beyond_newest(spark):
     got = {r["id"] for r in latest.beyond_newest(df, "kind", "id", 5).collect()}
     want = {i for k in (True, False) for i in sorted(j for j in range(90) if bool(j % 3) == k)[:-5]}
     assert got == want
+
+
+PEOPLE = frozenset({"jeevi", "prani", "murugan", "maddy", "thenna"})
+#: Texts with the lane and the fields of their only, or their last record; the anchor is Monday, 11 May 2026.
+SAID = [
+    ("petrol 500", "expense", {"description": "petrol", "amount": 500.0, "date": "2026-05-11"}), ("500 petrol", "expense", {"description": "petrol", "amount": 500.0}),
+    ("780 mutton biryani + lollipop", "expense", {"amount": 780.0}), ("biscuit 20", "expense", {"amount": 20.0}), ("gift Maddy 500", "expense", {"amount": 500.0}),
+    ("petrol 2k", "expense", {"amount": 2000.0}), ("rent 1.5 lakh", "expense", {"description": "rent", "amount": 150000.0}), ("plot 2 crore", "expense", {"amount": 2e7}),
+    ("petrol 500 yesterday", "expense", {"description": "petrol", "date": "2026-05-10"}), ("tea 20 3 days ago", "expense", {"amount": 20.0, "date": "2026-05-08"}),
+    ("expense: milk 30, thanks, bus 20", "expense", {"description": "bus", "amount": 20.0}),
+    ("gave Maddy 5k", "ledger", {"person_text": "Maddy", "amount": 5000.0, "action": "gave"}), ("give Maddy 10k", "ledger", {"action": "gave"}), ("Maddy returned 6k", "ledger", {"person_text": "Maddy", "action": "received"}),
+    ("received 3k from thenna", "ledger", {"person_text": "thenna", "action": "received"}), ("Maddy gave 5k", "ledger", {"action": "received"}), ("lent Ravi 2000", "ledger", {"action": "gave"}),
+    ("sent Priya 1500", "ledger", {"action": "gave"}), ("got 5k from Mani", "ledger", {"person_text": "Mani", "action": "received"}), ("ravi gave me 500", "ledger", {"person_text": "ravi", "action": "received"}),
+    ("ledger: ravi owes me 500", "ledger", {"person_text": "ravi", "action": "gave"}), ("gave 500 to ravi", "ledger", {"person_text": "ravi", "amount": 500.0, "action": "gave"}),
+    ("settled with ravi", "ledger", {"person_text": "ravi", "amount": None, "action": "settle"}), ("i owe anna 40", "ledger", {"person_text": "anna", "action": "owe"}), ("ravi took 50 from me", "ledger", {"action": "gave"}),
+    ("took 50 from ravi", "ledger", {"person_text": "ravi", "action": "borrowed"}), ("got 50 back from ravi", "ledger", {"action": "received"}),
+    ("jeevi 62", "weight", {"person_text": "jeevi", "value": 62.0}), ("jeevi 65.1 empty stomach", "weight", {"value": 65.1}), ("weight: anna 60.1, bela 70", "weight", {"person_text": "bela", "value": 70.0}),
+    ("update Amit about MCP", "todo", {"text": "update Amit about MCP"}), ("haircut on thursday", "todo", {"text": "haircut", "date": "2026-05-14"}), ("order mushroom fried rice", "todo", {}),
+]
+
+
+@pytest.mark.parametrize("said,lane,fields", SAID)
+def test_said(said, lane, fields):
+    from datetime import date
+
+    from tallyloom.operators.extract import parse
+
+    got = parse(said, date(2026, 5, 11), PEOPLE)
+    assert got["lane"] == lane and got["records"], got
+    assert {k: got["records"][-1][k] for k in fields} == fields
+
+
+def test_pieces(spark):
+    from tallyloom.operators.extract import pieces
+
+    words = spark.createDataFrame([("play", 5), ("ing", 4), ("cafe", 3), ("rare", 1)], "w string, n long")
+    df = spark.createDataFrame([(1, "Playing café"), (2, "playz"), (3, ""), (4, None)], "id long, t string")
+    got = {r["id"]: r["p"] for r in df.select("id", pieces(F.col("t"), words, length=6).alias("p")).collect()}
+    assert got == {1: "[CLS] play ##ing cafe [SEP] [PAD]", 2: "[CLS] [UNK] [SEP] [PAD] [PAD] [PAD]", 3: "[CLS] [SEP] [PAD] [PAD] [PAD] [PAD]", 4: None}
