@@ -94,6 +94,19 @@ def final_keys(bare: str) -> list[int]:
     return out
 
 
+def final_keys_of(texts: list[str]) -> np.ndarray:
+    """A row of :func:`final_keys` for each text, all at once."""
+    out = []
+    for stream, lengths, ends in (("p", PLAIN, [(PAD + t[-32:])[-32:] for t in texts]), ("h", HIDDEN, [(PAD + hidden(t)[-32:])[-32:] for t in texts])):
+        codes = _codes("".join(ends)).reshape(len(ends), 32).astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(31, BASE, np.uint64)]), dtype=np.uint64)[::-1]
+            for n in lengths:
+                h = (codes[:, -n:] * powers[-n:]).sum(axis=1, dtype=np.uint64)
+                out.append(_keys(stream, n, (h ^ (h >> np.uint64(29))) * (BASE + np.uint64(2 * n))))
+    return np.stack(out, axis=1) if texts else np.zeros((0, len(PLAIN) + len(HIDDEN)), np.int64)
+
+
 def _tally(text: str, stream: str, lengths: tuple[int, ...], words: np.ndarray, piece: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """How often each wanted context is followed by an end (mark or new line) or goes on; ends of texts say neither."""
     for start in range(0, len(text), piece):
@@ -135,9 +148,10 @@ def end_odds(texts: DataFrame, max_bits: int = 1 << 27) -> DataFrame:
     @F.pandas_udf(FINAL)
     def final(text: pd.Series) -> pd.DataFrame:
         rows = [final_part(t) for t in text]
+        keys = final_keys_of([r[0] for r in rows])
         return pd.DataFrame(
             {
-                "keys": [final_keys(r[0]) if r[0] else [] for r in rows],
+                "keys": [k if r[0] else [] for r, k in zip(rows, keys)],
                 "marked": [r[1] for r in rows],
                 "broken": [r[2] for r in rows],
                 "own": [r[3] for r in rows],

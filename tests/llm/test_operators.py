@@ -388,3 +388,8 @@ def test_filters_in_parts_and_hidden_windows(spark):
     assert one == {r["id"]: r["odds"] for r in truncation.end_odds(df, max_bits=1 << 13).collect()}
     run = "we met " + "Donaudampfschifffahrtsgesellschaftskapitaen " * 12 + "at the gate"
     assert truncation.final_keys(run)[-1] == truncation.final_keys("so we met " + "Anna " * 12 + "at the gate")[-1]
+
+
+def test_keys_of_many_texts():
+    texts = ["", "a", "so we met Anna and Bela at the gate yesterday, all of us", "x" * 31, "y" * 33, "\U0001f642 ठीक है Zug um Zug", "Ab" * 40]
+    assert truncation.final_keys_of(texts).tolist() == [truncation.final_keys(t) for t in texts]
