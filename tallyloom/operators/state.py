@@ -38,7 +38,7 @@ def latest_values(changes: DataFrame, key: str, value: str, at: str, order: str
 
 
 def pair_replies(prompts: DataFrame, replies: DataFrame, by: str, at: str) -> DataFrame:
-    """Each reply with the latest prompt of the same ``by`` at or before it: reply_id, prompt_id; the newest reply to a prompt
+    """Each reply with the latest prompt of the same ``by`` at or before it: reply_id, prompt_id; the first reply to a prompt
     settles it, marked ``settles``. One window over both, no join of all pairs."""
     p = prompts.select(by, at, F.lit(0).alias("turn"), F.col("id").alias("pid"), F.lit(None).cast("long").alias("rid"))
     r = replies.select(by, at, F.lit(1).alias("turn"), F.lit(None).cast("long").alias("pid"), F.col("id").alias("rid"))
@@ -56,8 +56,8 @@ def one_pending(actions: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
 
 
 def rename(df: DataFrame, mapping: DataFrame, col: str) -> DataFrame:
-    """Names replaced after a mapping (old, new), the same in every relation it is applied to."""
-    m = mapping.select(F.col("old").alias(col), F.col("new").alias("_new")).dropDuplicates([col])
+    """Names replaced after a mapping (old, new), the same in every relation it is applied to; of two targets the first in the alphabet."""
+    m = mapping.groupBy(F.col("old").alias(col)).agg(F.min("new").alias("_new"))
     return df.join(m, col, "left").withColumn(col, F.coalesce("_new", col)).drop("_new").select(*df.columns)
 
 
