@@ -135,6 +135,11 @@ def abstain(top: DataFrame, least: float, *query: str) -> DataFrame:
 # their order, so that scores and ties are those of the search for one query.
 
 BLOCK = 1000
+PARTITIONS = 2000
+#: Rows and queries of a block where a matrix product estimates all pairs and only those that may be among the best are scored.
+VECTOR_BLOCK = (16_384, 2_048)
+#: Queries estimated at a time, and by how much an estimate or a score rounded to six decimals may be off.
+CHUNK, SLACK = 128, 1.1e-6
 _MEMO: dict[tuple[str, ...], dict[str, np.ndarray]] = {}
 _MEMO_BYTES = 64_000_000
 
@@ -252,24 +257,32 @@ def _block_simple(rows: dict[str, list], asks: dict[str, list]) -> dict[str, np.
     return {"lexical": lexical, "semantic": semantic, "score": 0.55 * lexical + 0.45 * semantic}
 
 
-def _block_vectors(rows: dict[str, list], asks: dict[str, list]) -> dict[str, np.ndarray]:
-    from decimal import ROUND_HALF_UP, Decimal
+def _dealt(rows: DataFrame, asks: DataFrame, pair: Callable[[pa.Table, pa.Table], pa.Table], columns: tuple[str, ...], block: tuple[int, int]) -> DataFrame:
+    """query_id, id and ``columns`` of ``pair`` for each block of about ``block[0]`` rows with each of ``block[1]`` queries."""
+    n, m = (max(1, -(-df.count() // size)) for df, size in zip((rows, asks), block))
+
+    def deal(df: DataFrame, own: str, size: int, other: str, parts: int) -> DataFrame:
+        df = df.toDF(*df.columns)  # columns of its own, for both sides may come from one relation
+        df = df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(size).cast("long"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        return df.repartition(min(n * m, PARTITIONS), "_row", "_ask")  # a given number: small tables, but much work, that isn't to be drawn together
+
+    schema = "query_id long, id long, " + ", ".join(f"{c} double" for c in columns)
+    left, right = deal(rows, "_row", n, "_ask", m).groupBy("_row", "_ask"), deal(asks, "_ask", m, "_row", n).groupBy("_row", "_ask")
+    return left.cogroup(right).applyInArrow(pair, schema)
 
-    cos = _block_cosine(rows["vec"], asks["vec"])
-    kept, at = np.unique(cos, return_inverse=True)
-    rounded = [float(Decimal(repr(x)).quantize(Decimal("1e-6"), ROUND_HALF_UP)) for x in kept.tolist()]
-    return {"score": np.array(rounded)[at].reshape(cos.shape)}
+
+def _best(met: DataFrame, by: list[str], k: int, newest: bool) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(*[F.desc(c) for c in by], F.desc("id") if newest else F.asc("id"))
+    return met.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k).drop("_at")
+
+
+def _scored(queries: np.ndarray, ids: np.ndarray, scores: dict[str, np.ndarray]) -> pa.Table:
+    return pa.table({"query_id": pa.array(queries, pa.int64()), "id": pa.array(ids, pa.int64()), **{c: pa.array(v, pa.float64()) for c, v in scores.items()}})
 
 
 def _met(rows: DataFrame, asks: DataFrame, score: Callable[[dict, dict], dict[str, np.ndarray]], columns: tuple[str, ...], k: int | None, newest: bool, least: float | None = None) -> DataFrame:
     """query_id, id and the scores of the best ``k`` rows of each query, of all rows without ``k``. Ties go by the lexical and
     the semantic score where there are parts, then by id, the newest or the oldest first."""
-    n, m = (max(1, -(-df.count() // BLOCK)) for df in (rows, asks))
-
-    def deal(df: DataFrame, own: str, size: int, other: str, parts: int) -> DataFrame:
-        df = df.toDF(*df.columns)  # columns of its own, for both sides may come from one relation
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(size).cast("long"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
     by = [c for c in ("score", "lexical", "semantic") if c in columns] if "phrase_hit" in columns else ["score"]
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -290,13 +303,8 @@ def _met(rows: DataFrame, asks: DataFrame, score: Callable[[dict, dict], dict[st
                     out[c].append(got[c][j][take])
         return pa.table({c: pa.array(np.concatenate(v) if v else np.array([], float if c in columns else np.int64)) for c, v in out.items()})
 
-    schema = "query_id long, id long, " + ", ".join(f"{c} double" for c in columns)
-    left, right = deal(rows, "_row", n, "_ask", m).groupBy("_row", "_ask"), deal(asks, "_ask", m, "_row", n).groupBy("_row", "_ask")
-    met = left.cogroup(right).applyInArrow(pair, schema)
-    if k is None:
-        return met
-    order = Window.partitionBy("query_id").orderBy(*[F.desc(c) for c in by], F.desc("id") if newest else F.asc("id"))
-    return met.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k).drop("_at")
+    met = _dealt(rows, asks, pair, columns, (BLOCK, BLOCK))
+    return met if k is None else _best(met, by, k, newest)
 
 
 def _with_vectors(notes: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -324,7 +332,82 @@ def simple_searches(notes: DataFrame, vectors: DataFrame, queries: DataFrame, en
     return _met(rows, asks, _block_simple, ("lexical", "semantic", "score"), k, newest=True)
 
 
+class _Vectors:
+    """Vectors as rows of one matrix, padded with zeros; ``unsure`` marks those whose estimates can't be trusted."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        lists = column.combine_chunks()
+        self.sizes = np.diff(lists.offsets.to_numpy())
+        self.padded = np.zeros((len(lists), int(self.sizes.max(initial=0))))
+        self.padded[np.arange(self.padded.shape[1]) < self.sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        self.norms = np.zeros(len(lists))
+        with np.errstate(all="ignore"):
+            for d in range(self.padded.shape[1]):
+                self.norms += self.padded[:, d] * self.padded[:, d]
+            self.norms = np.sqrt(self.norms)
+            self.unsure = ~((self.norms == 0) | (self.norms > 1e-100) & (self.norms < 1e100))
+            self.units = np.where((self.norms == 0) | self.unsure, 0.0, 1.0)[:, None] * np.nan_to_num(self.padded / np.where(self.norms == 0, 1.0, self.norms)[:, None])
+
+    def estimates(self, others: _Vectors, some: slice) -> np.ndarray:
+        """Cosines of ``some`` of these (down) to the others (across), but for the order of the sum."""
+        width = min(self.padded.shape[1], others.padded.shape[1])
+        out = self.units[some, :width] @ others.units[:, :width].T
+        if len({*self.sizes[some].tolist(), *others.sizes.tolist()}) > 1:
+            out[self.sizes[some][:, None] != others.sizes[None, :]] = 0.0
+        return out
+
+    def cosines(self, at: np.ndarray, others: _Vectors, to: np.ndarray) -> np.ndarray:
+        """:func:`cosine` of each pair, added up in the same order."""
+        dots = np.zeros(len(at))
+        with np.errstate(all="ignore"):
+            for d in range(min(self.padded.shape[1], others.padded.shape[1])):
+                dots += self.padded[at, d] * others.padded[to, d]
+            n = self.norms[at] * others.norms[to]
+            return np.divide(dots, n, out=np.zeros(len(at)), where=(n != 0) & (self.sizes[at] == others.sizes[to]))
+
+
+def _rounded(values: np.ndarray) -> np.ndarray:
+    """To six decimals, halves up by the shortest decimal form, as Spark rounds."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    with np.errstate(all="ignore"):
+        scaled = values * 1e6
+        out = np.rint(scaled) / 1e6 + 0.0
+        for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4):
+            out[i] = float(Decimal(repr(float(values[i]))).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    return out
+
+
+def _nearest(k: int | None, least: float | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, queries, got = left["id"].to_numpy(), right["id"].to_numpy(), []
+        rows, asks = (_Vectors(t["vec"]) for t in (left, right)) if len(ids) and len(queries) else (None, None)
+        for first in range(0, len(queries) if len(ids) else 0, CHUNK):
+            near = asks.estimates(rows, slice(first, first + CHUNK))
+            unsure = asks.unsure[first : first + CHUNK, None] | rows.unsure[None, :] if asks.unsure.any() or rows.unsure.any() else None
+            if unsure is not None:
+                near[unsure] = -np.inf
+            low = np.full(len(near), -np.inf if least is None else least - SLACK)
+            if k is not None and len(ids) > k:
+                low = np.maximum(low, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] - SLACK)
+            j, i = np.nonzero(near >= low[:, None] if unsure is None else (near >= low[:, None]) | unsure)
+            score = _rounded(asks.cosines(j + first, rows, i))
+            keep = np.isnan(score) | (score >= (-np.inf if least is None else least))  # NaN sorts above all numbers and is kept, as in SQL
+            j, i, score = j[keep], i[keep], score[keep]
+            order = np.lexsort((ids[i], -np.where(np.isnan(score), np.inf, score), j))
+            j, i, score = j[order], i[order], score[order]
+            if k is not None:
+                keep = np.arange(len(j)) - np.searchsorted(j, j) < k
+                j, i, score = j[keep], i[keep], score[keep]
+            got.append((queries[j + first], ids[i], score))
+        q, x, s = (np.concatenate(c) for c in zip(*got)) if got else ([], [], [])
+        return _scored(q, x, {"score": s})
+
+    return pair
+
+
 def vector_searches(vectors: DataFrame, queries: DataFrame, k: int | None, least: float | None = None) -> DataFrame:
     """:func:`vector_search` for every row of ``queries``; both have id and embedding."""
     whole = lambda df: df.select("id", F.col("embedding").alias("vec")).where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull()))
-    return _met(whole(vectors), whole(queries), _block_vectors, ("score",), k, newest=False, least=least)
+    met = _dealt(whole(vectors), whole(queries), _nearest(k, least), ("score",), VECTOR_BLOCK)
+    return met if k is None else _best(met, ["score"], k, newest=False)

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -246,6 +247,34 @@ def test_every_hundredth_row_is_searched_for(spark):
         assert len(want) > 5 and got == dict.fromkeys(want, k)
 
 
+def test_vector_searches_in_blocks(spark, monkeypatch):
+    """Ties by id, scores about a half of the last decimal, zeros, other lengths and values that are no numbers."""
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", (7, 3))
+    rng = random.Random(5)
+    vecs = [[rng.choice([0.0, 1.0, 2.0, -1.0]) for _ in range(3)] for _ in range(40)] + [[0.0] * 3, [1.0, 2.0], [], None, [1e-200, 0.0, 0.0], [math.nan, 1.0, 1.0]]
+    rows = spark.createDataFrame([(i + 1, v) for i, v in enumerate(vecs)], "id long, embedding array<double>").cache()
+    asked = [1, 2, 3, 5, 8, 41, 42, 45]
+    for least in (None, 0.3):
+        got = retrieval.vector_searches(rows, rows.where(F.col("id").isin(asked)), 6, least)
+        hits = {q: [] for q in asked}
+        for r in got.orderBy("query_id", F.desc("score"), "id").collect():
+            hits[r["query_id"]].append((r["id"], _plain(r["score"])))
+        whole = rows.where(F.col("embedding").isNotNull())
+        for q in asked:
+            assert hits[q] == _hits(retrieval.vector_search(whole, F.array(*[F.lit(x) for x in vecs[q - 1]]), 6, least=least), "id", "score"), (q, least)
+
+
+def test_vector_searches_score_few_pairs(spark, monkeypatch):
+    """All pairs are estimated by a matrix product; the exact cosine is for those that may be among the best."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, scored, exact = np.random.default_rng(3), [], retrieval._Vectors.cosines
+    monkeypatch.setattr(retrieval._Vectors, "cosines", lambda self, at, others, to: (scored.append(len(at)), exact(self, at, others, to))[1])
+    table = lambda n: pa.table({"id": np.arange(n), "vec": pa.array(rng.random((n, 26)).tolist())})
+    assert len(retrieval._nearest(20, 0.3)(table(2000), table(200))) == 4000 and sum(scored) < 5000
+
+
 def test_cut_phrases(spark):
     rows = [("mayor met in may", "2026-05-11"), ("last 45 days of tea", "2026-05-11"), ("seen six days ago", "2026-05-11"), ("due in december", "2026-05-11")]
     df = spark.createDataFrame(rows, "t string, a string")
