@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tallyloom.functions.text import clamp, cosine, jaccard, normalise, search_words, trigrams, word_set
+from tallyloom.functions.text import STOP_WORDS, clamp, cosine, jaccard, normalise, search_form, search_words, trigrams, word_set
 
 
 @F.pandas_udf(DoubleType())
@@ -140,30 +141,82 @@ PARTITIONS = 2000
 VECTOR_BLOCK = (16_384, 2_048)
 #: Queries estimated at a time, and by how much an estimate or a score rounded to six decimals may be off.
 CHUNK, SLACK = 128, 1.1e-6
+#: Rows and queries of a block of :func:`note_searches`.
+NOTE_BLOCK = (8_192, 4_096)
 _MEMO: dict[tuple[str, ...], dict[str, np.ndarray]] = {}
 _MEMO_BYTES = 64_000_000
 
 
-def _ratios(words: list[str], asked: list[str]) -> np.ndarray:
-    """A row per word with its matching-blocks ratio to each asked word, 0 where the lengths differ by more than four."""
+def _codes(words: list[str]) -> np.ndarray:
+    """A column per word of up to 16 letters, ended by zeros."""
+    return np.frombuffer(b"".join(w.encode().ljust(16, b"\0") for w in words), np.uint8).reshape(len(words), 16).T.copy()
+
+
+def _matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Letters in the matching blocks of each column of ``a`` and ``b``, as SequenceMatcher finds them: the longest block, of
+    these the first in ``a``, then in ``b``, and so on to its left and right."""
+    total, own = np.zeros(a.shape[1], np.uint16), np.arange(a.shape[1])
+    b = np.where(b == 0, np.uint8(255), b)
+    while len(own):
+        top = np.zeros(len(own), np.uint16)
+        before = [np.zeros(len(own), np.uint16)] * (len(b) + 1)
+        for i in range(len(a)):
+            runs = [before[0]]
+            for j in range(len(b)):
+                run = (before[j] + np.uint16(1)) * (a[i] == b[j])
+                runs.append(run)
+                np.maximum(top, run * np.uint16(256) + np.uint16((15 - i) * 16 + 15 - j), out=top)
+            before = runs
+        size, i, j = (x.astype(np.int16) for x in (top >> 8, 15 - (top >> 4 & 15), 15 - (top & 15)))
+        np.add.at(total, own, size.astype(np.uint16))
+        parts, at_a, at_b = [], np.arange(len(a))[:, None], np.arange(len(b))[:, None]
+        for on in ((size > 0) & (i >= size) & (j >= size), (size > 0) & (i + 1 < len(a)) & (j + 1 < len(b))):
+            x = np.flatnonzero(on)
+            left = not parts
+            in_a, in_b = (at_a <= (i - size)[x], at_b <= (j - size)[x]) if left else (at_a > i[x], at_b > j[x])
+            parts.append((own[x], np.where(in_a, a[:, x], np.uint8(0)), np.where(in_b, b[:, x], np.uint8(255))))
+        own, a, b = (np.concatenate(c, axis=-1) for c in zip(*parts))
+        some = (a != 0).any(axis=0) & (b != 255).any(axis=0)
+        own, a, b = own[some], a[:, some], b[:, some]
+    return total
+
+
+def _matches(words: list[str], asked: list[str]) -> np.ndarray:
+    """Letters in matching blocks of each word (down) with each asked word (across), 0 where the lengths differ by more than four.
+
+    Words without digits come again in every block and are remembered; those with digits are many and short.
+    """
     from difflib import SequenceMatcher
 
-    match, known, rows = SequenceMatcher(None), _MEMO.setdefault(tuple(asked), {}), np.zeros((len(words), len(asked)))
+    known = _MEMO.setdefault(tuple(asked), {})
+    out, new = np.zeros((len(words), len(asked)), np.uint16), []
     for i, w in enumerate(words):
-        row = known.get(w)
-        if row is None:
-            match.set_seq2(w)
-            row = np.zeros(len(asked))
-            for j, q in enumerate(asked):
-                if abs(len(w) - len(q)) <= 4:
-                    match.set_seq1(q)
-                    row[j] = match.ratio()
-            if sum(len(k) * len(v) for k, v in _MEMO.items()) * 8 > _MEMO_BYTES:
-                _MEMO.clear()
-                known = _MEMO.setdefault(tuple(asked), {})
-            known[w] = row
-        rows[i] = row
-    return rows
+        if (row := known.get(w)) is not None:
+            out[i] = row
+        else:
+            new.append(i)
+    lengths, theirs = np.array([len(words[i]) for i in new], int), np.array([len(q) for q in asked], int)
+    code, codes = _codes([w if len(w) <= 16 else "" for w in (words[i] for i in new)]), _codes([q if len(q) <= 16 else "" for q in asked])
+    letters = lambda ws: np.array([sum(1 << ord(c) % 61 for c in set(w)) for w in ws], np.int64)
+    ours, asks = letters([words[i] for i in new]), letters(asked)
+    step = max(1, 2_000_000 // max(1, len(asked)))
+    for first in range(0, len(new), step):
+        some = slice(first, first + step)
+        v, q = np.nonzero((np.abs(lengths[some, None] - theirs[None, :]) <= 4) & ((ours[some, None] & asks[None, :]) != 0))
+        v = v + first
+        long = (lengths[v] > 16) | (theirs[q] > 16)
+        for x, y in zip(v[long].tolist(), q[long].tolist()):
+            out[new[x], y] = sum(m.size for m in SequenceMatcher(None, asked[y], words[new[x]]).get_matching_blocks())
+        v, q = v[~long], q[~long]
+        order = np.argsort(lengths[v] * 32 + theirs[q], kind="stable")
+        for at in range(0, len(order), 16_384):
+            x, y = v[order[at : at + 16_384]], q[order[at : at + 16_384]]
+            out[np.array(new)[x], y] = _matching(codes[: theirs[y].max(), y], code[: lengths[x].max(), x])
+    room = _MEMO_BYTES - sum(r.nbytes for m in _MEMO.values() for r in m.values())
+    for i in new:
+        if not any(c.isdigit() for c in words[i]) and (room := room - out[i].nbytes) > 0:
+            known[words[i]] = out[i].copy()
+    return out
 
 
 def _held(sets: list, index: dict[str, int], repeats: bool = False) -> np.ndarray:
@@ -188,32 +241,6 @@ def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return np.divide(part, whole, out=np.zeros(np.broadcast_shapes(part.shape, whole.shape)), where=whole > 0)
 
 
-def _block_lexical(rows: dict[str, list], asks: dict[str, list]) -> dict[str, np.ndarray]:
-    """:func:`lexical_parts` of each query (down) and row (across)."""
-    phrase = np.array([[float(bool(q) and q in t) for t in (x or "" for x in rows["norm"])] for q in asks["norm"]])
-    index, n_asked = _index(asks["words"]), _sizes(asks["words"])[:, None]
-    exact = _share((_held(asks["words"], index, True) @ _held(rows["words"], index).T).astype(float), n_asked)
-    vocabulary = _index(rows["words"])
-    ratios, best = _ratios(list(vocabulary), list(index)), np.zeros((len(index), len(rows["id"])))
-    for i, words in enumerate(rows["words"]):
-        if words:
-            best[:, i] = ratios[[vocabulary[w] for w in set(words)]].max(axis=0)
-    total = np.zeros(phrase.shape)
-    for j, words in enumerate(asks["words"]):
-        s, lost = np.zeros(phrase.shape[1]), np.zeros(phrase.shape[1])
-        for w in words or ():  # as sum() adds floats, with what each step loses
-            x = best[index[w]]
-            t = s + x
-            lost += np.where(s >= x, (s - t) + x, (x - t) + s)
-            s = t
-        total[j] = s + lost
-    pieces = _index(asks["pieces"])
-    both = (_held(asks["pieces"], pieces) @ _held(rows["pieces"], pieces).T).astype(float)
-    fuzzy, trigram = _share(total, n_asked), _share(both, _sizes(asks["pieces"])[:, None] + _sizes(rows["pieces"])[None, :] - both)
-    lexical = np.minimum(1.0, 0.55 * phrase + 0.20 * exact + 0.20 * fuzzy + 0.05 * trigram)
-    return {"phrase_hit": phrase, "exact_recall": exact, "fuzzy_recall": fuzzy, "trigram": trigram, "lexical": lexical}
-
-
 def _block_cosine(vectors: list, asks: list) -> np.ndarray:
     """:func:`cosine` of each query (down) and vector (across), added up in the same order."""
     width = max((len(v or ()) for v in [*vectors, *asks]), default=0)
@@ -241,14 +268,6 @@ def _block_semantic(rows: dict[str, list], asks: dict[str, list], floor: bool =
     return np.clip(out, 0.0, 1.0) if floor else out
 
 
-def _block_notes(rows: dict[str, list], asks: dict[str, list]) -> dict[str, np.ndarray]:
-    parts = _block_lexical(rows, asks)
-    x, semantic = parts["lexical"], _block_semantic(rows, asks)
-    s = np.maximum(semantic, 0.0)
-    score = np.where(x >= 0.45, 0.78 * x + 0.22 * s, np.where(x >= 0.20, 0.65 * x + 0.35 * s, 0.15 * x + 0.85 * s))
-    return parts | {"semantic": semantic, "score": score}
-
-
 def _block_simple(rows: dict[str, list], asks: dict[str, list]) -> dict[str, np.ndarray]:
     index = _index(asks["words"])
     shared = _share((_held(asks["words"], index) @ _held(rows["words"], index).T).astype(float), _sizes(asks["words"])[:, None])
@@ -263,8 +282,10 @@ def _dealt(rows: DataFrame, asks: DataFrame, pair: Callable[[pa.Table, pa.Table]
 
     def deal(df: DataFrame, own: str, size: int, other: str, parts: int) -> DataFrame:
         df = df.toDF(*df.columns)  # columns of its own, for both sides may come from one relation
+        if parts > size:  # few rows of which many copies are made: in many tasks
+            df = df.repartition(min(parts, 24), "id")
         df = df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(size).cast("long"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        return df.repartition(min(n * m, PARTITIONS), "_row", "_ask")  # a given number: small tables, but much work, that isn't to be drawn together
+        return df.repartition(min(4 * n * m, PARTITIONS), "_row", "_ask")  # a given number: small tables, but much work, that isn't to be drawn together
 
     schema = "query_id long, id long, " + ", ".join(f"{c} double" for c in columns)
     left, right = deal(rows, "_row", n, "_ask", m).groupBy("_row", "_ask"), deal(asks, "_ask", m, "_row", n).groupBy("_row", "_ask")
@@ -315,16 +336,6 @@ def _with_vectors(notes: DataFrame, vectors: DataFrame) -> DataFrame:
 PARTS = ("phrase_hit", "exact_recall", "fuzzy_recall", "trigram", "lexical", "semantic", "score")
 
 
-def note_searches(notes: DataFrame, vectors: DataFrame, queries: DataFrame, encode: Callable[[Column], Column], k: int | None = 5) -> DataFrame:
-    """:func:`note_search` for every row of ``queries`` (id, content); without ``k`` the scores of all notes for each."""
-    cut = lambda text: {"norm": normalise(text), "words": search_words(text), "pieces": trigrams(text)}
-    rows = _with_vectors(notes.select("id", *[c.alias(n) for n, c in cut("content").items()]), vectors)
-    asks = queries.select("id", *[c.alias(n) for n, c in cut("content").items()], encode(F.col("content")).alias("vec"))
-    top = _met(rows, asks, _block_notes, PARTS, k, newest=True)
-    words = queries.select(F.col("id").alias("query_id"), F.coalesce(search_words("content"), F.array().cast("array<string>")).alias("_asked"))
-    return top.join(words, "query_id").withColumn("confident", confident(F.col("score"), F.col("semantic"), F.col("_asked"))).drop("_asked")
-
-
 def simple_searches(notes: DataFrame, vectors: DataFrame, queries: DataFrame, encode: Callable[[Column], Column], k: int | None = 10) -> DataFrame:
     """The best ``k`` by :func:`simple_scores` for every row of ``queries`` (id, content)."""
     cut = [F.lower("content").alias("norm"), word_set("content").alias("words")]
@@ -411,3 +422,182 @@ def vector_searches(vectors: DataFrame, queries: DataFrame, k: int | None, least
     whole = lambda df: df.select("id", F.col("embedding").alias("vec")).where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull()))
     met = _dealt(whole(vectors), whole(queries), _nearest(k, least), ("score",), VECTOR_BLOCK)
     return met if k is None else _best(met, ["score"], k, newest=False)
+
+
+class _Texts:
+    """Normalised texts, search words and trigrams, cut from the search form as the expressions of the texts do."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.ids = table["id"].to_numpy()
+        self.norms = [x or "" for x in table["norm"].to_pylist()]
+        forms = [x or "" for x in table["form"].to_pylist()]
+        kept: dict[str, bool] = {}
+        for w in {w for t in forms for w in t.split(" ")}:
+            kept[w] = w not in STOP_WORDS and (len(w) >= 3 or any(c.isdigit() for c in w))
+        self.words = [[w for w in t.split(" ") if kept[w]] for t in forms]
+        self.pieces = [{t[i : i + 3] for i in range(max(len(t) - 2, 1))} if t else set() for t in forms]
+        self.sizes = np.array([len(p) for p in self.pieces], np.float32)
+
+
+class _Phrases:
+    """Which texts hold a phrase: its inner words stand whole in them, so only the texts with the rarest of these are read."""
+
+    def __init__(self, norms: list[str]) -> None:
+        self.norms, self.at = norms, {}
+        for i, t in enumerate(norms):
+            for w in set(t.split(" ")):
+                self.at.setdefault(w, []).append(i)
+
+    def holding(self, phrase: str) -> list[int]:
+        inner = phrase.split(" ")[1:-1]
+        some = min((self.at.get(w, ()) for w in inner), key=len) if inner else range(len(self.norms))
+        return [i for i in some if phrase in self.norms[i]] if phrase else []
+
+
+class _Block:
+    """A block of notes against a block of queries: estimates of all scores of a query, and the exact parts of chosen pairs."""
+
+    def __init__(self, left: pa.Table, right: pa.Table) -> None:
+        self.rows, self.asks = rows, asks = _Texts(left), _Texts(right)
+        self.phrases = _Phrases(rows.norms)
+        vocabulary, self.asked = (_index(t.words) for t in (rows, asks))
+        self.matches = _matches(list(vocabulary), list(self.asked))
+        self.lengths, self.asked_lengths = (np.array([len(w) for w in words], np.int64) for words in (vocabulary, self.asked))
+        self.own = [np.array([vocabulary[w] for w in set(words)], np.int64) for words in rows.words]
+        self.theirs = [np.array([self.asked[w] for w in words], np.int64) for words in asks.words]
+        letters = np.add.outer(self.lengths.astype(np.float32), self.asked_lengths.astype(np.float32))
+        ratios = np.float32(2) * self.matches
+        ratios /= np.maximum(letters, 1, out=letters)
+        del letters
+        self.best = np.zeros((len(self.asked), len(rows.ids)), np.float32)
+        for first in range(0, len(rows.ids), CHUNK):
+            best = np.zeros((min(CHUNK, len(rows.ids) - first), len(self.asked)), np.float32)
+            for i, own in enumerate(self.own[first : first + CHUNK]):
+                if len(own):
+                    np.maximum.reduce(ratios[own], axis=0, out=best[i])
+            best += best == 1  # words met count for both the exact and the fuzzy recall, of like weight
+            self.best[:, first : first + CHUNK] = best.T
+        del ratios
+        index = _index(asks.pieces)
+        self.piece_of = [[index[p] for p in pieces] for pieces in asks.pieces]
+        self.pieces = np.zeros((len(index) + 1, len(rows.ids)), np.uint8)  # the last for pieces that no query has
+        for i, pieces in enumerate(rows.pieces):
+            self.pieces[list(map(index.get, pieces, repeat(len(index)))), i] = 1
+        lists = left["vecs"].combine_chunks()
+        self.counts = np.diff(lists.offsets.to_numpy())
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.has = np.flatnonzero(self.counts)
+        self.vectors, self.vec = _Vectors(pa.chunked_array([lists.flatten()])), _Vectors(right["vec"])
+        self.unsure = np.zeros(len(rows.ids), bool)
+        if len(self.has):
+            self.unsure[self.has] = np.logical_or.reduceat(self.vectors.unsure, self.starts[self.has])
+
+    def semantic(self, some: slice) -> np.ndarray:
+        near = self.vec.estimates(self.vectors, some)
+        out = np.zeros((len(near), len(self.counts)), np.float32)
+        if len(self.has):
+            out[:, self.has] = np.maximum.reduceat(near, self.starts[self.has], axis=1)
+        return out
+
+    def semantic_of(self, j: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """The nearest vector of each row, 0 without one."""
+        out, has = np.zeros(len(j)), np.flatnonzero(self.counts[i])
+        if len(has):
+            n = self.counts[i[has]]
+            firsts = np.cumsum(n) - n
+            near = self.vec.cosines(np.repeat(j[has], n), self.vectors, np.repeat(self.starts[i[has]] - firsts, n) + np.arange(n.sum()))
+            out[has] = np.maximum.reduceat(near, firsts)
+        return out
+
+    def shared(self, j: int) -> np.ndarray:
+        """How many trigrams of the query each row has."""
+        at, out, add = self.piece_of[j], np.zeros(len(self.counts), np.float32), np.add
+        for first in range(0, len(at), 255):
+            some = np.zeros(len(self.counts), np.uint8)
+            for p in at[first : first + 255]:
+                add(some, self.pieces[p], some)
+            out += some
+        return out
+
+    def candidates(self, j: int, semantic: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows that may be among the best ``k``, whether they hold the phrase, and their shared trigrams."""
+        phrase, shared, words = np.zeros(len(self.counts), np.float32), self.shared(j), self.theirs[j]
+        phrase[self.phrases.holding(self.asks.norms[j])] = 1
+        if k is None or len(phrase) <= k:
+            take = np.arange(len(phrase))
+            return take, phrase, shared
+        x = np.float32(0.05) * shared / np.maximum(self.asks.sizes[j] + self.rows.sizes - shared, 1) + np.float32(0.55) * phrase
+        if len(words):
+            total = np.zeros(len(phrase), np.float32)
+            for w in words.tolist():
+                total += self.best[w]
+            total *= np.float32(0.20 / len(words))
+            x += total
+        np.minimum(x, 1, out=x)
+        off = np.float32(2e-6 + 1e-7 * len(words))  # what sums of single precision may be off
+        s = np.maximum(semantic, 0)
+        (hi, a, b), (lo, c, d), (_, e, f) = BLEND
+        score = np.where(x >= hi, np.float32(a) * x + np.float32(b) * s, np.where(x >= lo, np.float32(c) * x + np.float32(d) * s, np.float32(e) * x + np.float32(f) * s))
+        always = (np.abs(x - np.float32(hi)) <= off) | (np.abs(x - np.float32(lo)) <= off) | self.unsure | self.vec.unsure[j]
+        score[always] = -1
+        least = np.partition(score, len(score) - k)[len(score) - k] - 3 * off
+        always |= score >= least
+        if least <= 0:  # rows without any evidence score 0 in every part: of these the newest go first
+            none = np.flatnonzero(always & (x == 0) & (semantic == 0) & ~self.unsure & ~self.vec.unsure[j])
+            if len(none) > k:
+                always[none] = False
+                always[none[np.argsort(-self.rows.ids[none], kind="stable")[:k]]] = True
+        return np.flatnonzero(always), phrase, shared
+
+    def lexical_of(self, j: int, rows: np.ndarray, phrase: np.ndarray, shared: np.ndarray) -> list[tuple[float, ...]]:
+        """:func:`lexical_parts` of a query and its chosen rows."""
+        words, n, size, out = self.theirs[j], len(self.theirs[j]), len(self.asks.pieces[j]), []
+        for i in rows.tolist():
+            exact = fuzzy = 0.0
+            if n:
+                if len(own := self.own[i]):
+                    ratios = (2.0 * self.matches[own[:, None], words] / (self.lengths[own][:, None] + self.asked_lengths[words])).max(axis=0).tolist()
+                    exact, fuzzy = ratios.count(1.0) / n, sum(ratios) / n
+            both, p = int(shared[i]), float(phrase[i])
+            union = size + len(self.rows.pieces[i]) - both
+            trigram = both / union if union else 0.0
+            out.append((p, exact, fuzzy, trigram, min(1.0, 0.55 * p + 0.20 * exact + 0.20 * fuzzy + 0.05 * trigram)))
+        return out
+
+
+def _noted(k: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, queries = left["id"].to_numpy(), right["id"].to_numpy()
+        block, got = _Block(left, right) if len(ids) and len(queries) else None, []
+        for first in range(0, len(queries) if block else 0, CHUNK):
+            near, js, rows, parts = block.semantic(slice(first, first + CHUNK)), [], [], []
+            for j in range(first, first + len(near)):
+                take, phrase, shared = block.candidates(j, near[j - first], k)
+                js.append(np.full(len(take), j))
+                rows.append(take)
+                parts += block.lexical_of(j, take, phrase, shared)
+            j, i = np.concatenate(js), np.concatenate(rows)
+            *single, x = np.array(parts, float).reshape(len(j), 5).T
+            semantic = block.semantic_of(j, i)
+            s = np.maximum(semantic, 0.0)
+            (hi, a, b), (lo, c, d), (_, e, f) = BLEND
+            score = np.minimum(1.0, np.where(x >= hi, a * x + b * s, np.where(x >= lo, c * x + d * s, e * x + f * s)))
+            order = np.lexsort((-ids[i], -semantic, -x, -score, j))
+            if k is not None:
+                order = order[np.arange(len(j)) - np.searchsorted(j[order], j[order]) < k]
+            got.append([v[order] for v in (queries[j], ids[i], *single, x, semantic, score)])
+        q, at, *scores = (np.concatenate(c) for c in zip(*got)) if got else [[] for _ in range(2 + len(PARTS))]
+        return _scored(q, at, dict(zip(PARTS, scores)))
+
+    return pair
+
+
+def note_searches(notes: DataFrame, vectors: DataFrame, queries: DataFrame, encode: Callable[[Column], Column], k: int | None = 5) -> DataFrame:
+    """:func:`note_search` for every row of ``queries`` (id, content); without ``k`` the scores of all notes for each."""
+    cut = [normalise("content").alias("norm"), search_form("content").alias("form")]
+    rows = _with_vectors(notes.select("id", *cut), vectors)
+    asks = queries.select("id", *cut, encode(F.col("content")).alias("vec"))
+    met = _dealt(rows, asks, _noted(k), PARTS, NOTE_BLOCK)
+    top = met if k is None else _best(met, ["score", "lexical", "semantic"], k, newest=True)
+    words = queries.select(F.col("id").alias("query_id"), F.coalesce(search_words("content"), F.array().cast("array<string>")).alias("_asked"))
+    return top.join(words, "query_id").withColumn("confident", confident(F.col("score"), F.col("semantic"), F.col("_asked"))).drop("_asked")

@@ -247,6 +247,47 @@ def test_every_hundredth_row_is_searched_for(spark):
         assert len(want) > 5 and got == dict.fromkeys(want, k)
 
 
+def test_note_searches_in_blocks(spark, monkeypatch):
+    """Any blocks give the hits, the scores and the ties of the search for one query."""
+    monkeypatch.setattr(retrieval, "NOTE_BLOCK", (9, 4))
+    rng, bits = random.Random(7), ["gas", "card", "cards", "renew", "renewal", "09338", "9338", "18:30", "tea", "the", "anbelukkadorthonekshavel", "anbelukkadorthonekshaval", "இன்று"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 6))) for _ in range(40)] + ["", None, "renew the gas card", "renew the gas card", "இன்று 18", "-- renew"]
+    notes = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "id long, content string").cache()
+    vecs = notes.where("id % 3 > 0").select(F.col("id").alias("note_id"), text.letter_vector("content").alias("vec"))
+    vecs = vecs.union(spark.createDataFrame([(3, [-1.0] * 26), (4, [0.5] * 26), (6, [1.0] * 5), (9, [0.0] * 26)], "note_id long, vec array<double>"))
+    asked, order = [1, 2, 3, 9, 20, 41, 43, 45, 46], [F.desc("score"), F.desc("lexical"), F.desc("semantic"), F.desc("id")]
+    asks, cols = notes.where(F.col("id").isin(asked)), ("id", *retrieval.PARTS, "confident")
+    hits = {q: [] for q in asked}
+    for r in retrieval.note_searches(notes, vecs, asks, text.letter_vector, 5).orderBy("query_id", *order).collect():
+        hits[r["query_id"]].append(tuple(_plain(r[c]) for c in cols))
+    for q in asked:
+        assert hits[q] == _hits(retrieval.note_search(notes, vecs, texts[q - 1], text.letter_vector, 5).orderBy(*order), *cols), q
+    assert retrieval.note_searches(notes, vecs, asks, text.letter_vector, None).count() == len(asked) * len(texts)
+
+
+def test_matching_blocks_of_many_words():
+    from difflib import SequenceMatcher
+
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 19))) for letters in ("ab", "abc1", "0123", "abcdefghij") for _ in range(40)})
+    for _ in range(2):  # the second time from memory
+        got = retrieval._matches(words, words[::2])
+    want = [[sum(b.size for b in SequenceMatcher(None, q, w).get_matching_blocks()) if abs(len(q) - len(w)) <= 4 else 0 for q in words[::2]] for w in words]
+    assert got.tolist() == want
+
+
+def test_note_searches_score_few_pairs(monkeypatch):
+    """All pairs are estimated; exact parts are for those that may be among the best."""
+    import pyarrow as pa
+
+    rng, scored, exact = random.Random(4), [], retrieval._Block.lexical_of
+    monkeypatch.setattr(retrieval._Block, "lexical_of", lambda self, j, rows, *more: (scored.append(len(rows)), exact(self, j, rows, *more))[1])
+    texts = [" ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(8)) for _ in range(1000)]
+    table = pa.table({"id": list(range(1000)), "norm": texts, "form": texts, "vecs": pa.array([[[rng.random() for _ in range(26)]] for _ in texts])})
+    asks = table.slice(0, 50).drop_columns("vecs").append_column("vec", pa.array([[rng.random() for _ in range(26)] for _ in range(50)]))
+    assert len(retrieval._noted(5)(table, asks)) == 250 and sum(scored) < 500
+
+
 def test_vector_searches_in_blocks(spark, monkeypatch):
     """Ties by id, scores about a half of the last decimal, zeros, other lengths and values that are no numbers."""
     monkeypatch.setattr(retrieval, "VECTOR_BLOCK", (7, 3))
